@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from opinara.operators.ordering import double_digits, long_digits, lookup_join, running_total
 from opinara.operators.profiling import is_missing
+from opinara.session import cut_lineage
 
 
 def complete_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -57,7 +58,7 @@ def _rank_table(rows: DataFrame, col: str) -> DataFrame:
 def spearman(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pearson of average ranks; equal rows are counted once and weighted."""
     _check(cols)
-    rows = complete_rows(df, cols).groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
+    rows = cut_lineage(complete_rows(df, cols).groupBy(*cols).agg(F.count(F.lit(1)).alias("n")))
     total = rows.agg(F.sum("n").alias("t")).scalar()
     ranked = rows
     for i, c in enumerate(cols):
@@ -92,13 +93,12 @@ def kendall_pair(df: DataFrame, x: str, y: str) -> DataFrame:
     are concordant and how many discordant. Work grows with distinct pairs times the
     number of bits; large groups are split by blocks of ``y`` ranks.
     """
-    rows = complete_rows(df, [x, y]).groupBy(x, y).agg(F.count(F.lit(1)).alias("n"))
+    rows = cut_lineage(complete_rows(df, [x, y]).groupBy(x, y).agg(F.count(F.lit(1)).alias("n")))
     total = rows.agg(F.sum("n").alias("t")).scalar()
+    ranked = rows
     for col, rank in ((x, "rx"), (y, "ry")):
-        table = _rank_table(rows.select(*[c for c in (x, y)], "n"), col).select(
-            col, "times", (F.col("dense") - 1).alias(rank)
-        )
-        ranked = lookup_join(rows if col == x else ranked, table, col, "times", [rank], total)
+        table = _rank_table(rows, col).select(col, "times", (F.col("dense") - 1).alias(rank))
+        ranked = lookup_join(ranked, table, col, "times", [rank], total)
     bits = (
         rows.agg(F.count_distinct(x).alias("d"))
         .select(F.greatest(F.ceil(F.log2(F.col("d").cast("double"))), F.lit(1)).cast("int").alias("b"))
@@ -115,7 +115,7 @@ def kendall_pair(df: DataFrame, x: str, y: str) -> DataFrame:
         )
     )
     running = running_total(
-        groups,
+        cut_lineage(groups),
         [F.col("ry")],
         long_digits(F.col("ry")),
         {"upto": F.col("n0")},

@@ -13,6 +13,7 @@ from opinara.operators.ordering import (
     id_positions,
     running_total,
 )
+from opinara.session import cut_lineage
 
 
 def sample_n(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
@@ -80,9 +81,10 @@ def stratified_split(
     """
     quotas = None
     if exact_total:
-        classes = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
+        # One row per class, written once: the quotas read it several times over.
+        classes = cut_lineage(df.groupBy(label).agg(F.count(F.lit(1)).alias("__n")))
         quotas = _allocate(classes, label, "__n", test, "__test")
-        quotas = quotas.withColumn("__left", F.col("__n") - F.col("__test"))
+        quotas = cut_lineage(quotas.withColumn("__left", F.col("__n") - F.col("__test")))
         quotas = _allocate(quotas, label, "__left", val, "__val")
         quotas = quotas.select(label, "__test", "__val")
     ranked = hash_positions(

@@ -5,6 +5,9 @@ from importlib import import_module
 AREAS = (
     "text_queries",
     "label_queries",
+    "row_queries",
+    "profile_queries",
+    "model_queries",
 )
 
 
