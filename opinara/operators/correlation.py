@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opinara.operators.ordering import double_digits, long_digits, lookup_join, running_total
+from opinara.operators.ordering import dense_digits, double_digits, lookup_join, running_total
 from opinara.operators.profiling import is_missing
 from opinara.session import cut_lineage
 
@@ -117,7 +117,7 @@ def kendall_pair(df: DataFrame, x: str, y: str) -> DataFrame:
     running = running_total(
         cut_lineage(groups),
         [F.col("ry")],
-        long_digits(F.col("ry")),
+        dense_digits(F.col("ry")),
         {"upto": F.col("n0")},
         ["level", "prefix"],
         {"upto": "all0"},

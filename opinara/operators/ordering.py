@@ -32,15 +32,17 @@ def long_digits(c: Column) -> list[Column]:
     return [F.shiftright(value, 40), F.shiftright(value, 16)]
 
 
+def dense_digits(c: Column) -> list[Column]:
+    """Blocks of 65,536 neighbours of a dense rank, whose blocks are few by construction."""
+    return [F.shiftright(c.cast("bigint"), 16)]
+
+
 def double_digits(c: Column) -> list[Column]:
-    """Blocks of numbers within one part in about 10^5, below their powers of two."""
+    """Blocks of numbers of one sign within one part in about 6,000: 4,096 per power of
+    two, so a column that spans twenty of them has some 80,000 blocks."""
     value = c.cast("double")
-    octave = F.log2(F.abs(value)) + 1100.0
-    sign = F.signum(value)
-    return [
-        F.when(value == 0, F.lit(0.0)).otherwise(F.floor(octave) * sign).cast("double"),
-        F.when(value == 0, F.lit(0.0)).otherwise(F.floor(octave * 65536) * sign).cast("double"),
-    ]
+    scaled = F.floor((F.log2(F.abs(value)) + 1100.0) * 4096)
+    return [F.when(value == 0, F.lit(0)).otherwise(scaled * F.signum(value).cast("bigint"))]
 
 
 def _non_null(c: Column) -> Column:

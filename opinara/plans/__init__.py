@@ -8,6 +8,7 @@ AREAS = (
     "row_queries",
     "profile_queries",
     "model_queries",
+    "tuning_queries",
 )
 
 
