@@ -57,7 +57,7 @@ def _sql_profile(name: str, types: dict[str, str], numeric: set[str]) -> str:
         x = f"{c}::DOUBLE"
         if c in numeric:
             stats = (
-                f"round(avg({x}), 6) AS mean, round(stddev_samp({x}), 6) AS std, min({x}) AS min, max({x}) AS max, "
+                f"round(avg({x}), 7) AS mean, round(stddev_samp({x}), 6) AS std, min({x}) AS min, max({x}) AS max, "
                 f"round(coalesce(skewness({x}), 0), 6) AS skew, round(coalesce(kurtosis({x}), 0), 6) AS kurtosis, "
                 f"round(quantile_cont({x}, 0.25), 6) AS q25, round(quantile_cont({x}, 0.5), 6) AS median, "
                 f"round(quantile_cont({x}, 0.75), 6) AS q75, NULL::VARCHAR AS mode"
@@ -76,7 +76,9 @@ def _sql_profile(name: str, types: dict[str, str], numeric: set[str]) -> str:
 
 def _rounded(profiled):
     cols = ["missing_pct", "mean", "std", "skew", "kurtosis", "q25", "median", "q75"]
-    return profiled.withColumns({c: F.round(c, 6) for c in cols})
+    rounded = {c: F.round(c, 6) for c in cols}
+    # Means of two-digit prices end in ...5 at six digits; seven are safe to compare.
+    return profiled.withColumns(rounded | {"mean": F.round("mean", 7)})
 
 
 TYPES = {"doc_id": "bigint", "text": "string", "lang": "string", "n_chars": "bigint", "quality": "int", "toxic": "int"}
