@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -17,13 +17,33 @@ WHITESPACE = (
     "    　"
 )
 
-# The same set as the inside of a Java character class.
-WS_CLASS = "\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-
 # The characters a cleaned review keeps besides white space.
-ASCII_KEPT = "a-z0-9.'!?"
+ASCII_KEPT = "abcdefghijklmnopqrstuvwxyz0123456789.'!?"
 ACCENT_KEPT = ASCII_KEPT + "àâçéèêëîïôûùüÿñæœ"
 
+
+def char_class(spans: Iterable[tuple[int, int]]) -> str:
+    """Regex class written as ranges only: the regex engine tests one about six times
+    faster than a negated class or one that lists single characters."""
+    return "[" + "".join(f"\\x{{{low:x}}}-\\x{{{high:x}}}" for low, high in spans) + "]"
+
+
+def outside(chars: str) -> str:
+    """All characters but these."""
+    edges = [-1, *sorted(ord(c) for c in set(chars)), 0x110000]
+    return char_class((a + 1, b - 1) for a, b in zip(edges, edges[1:]) if a + 1 < b)
+
+
+def inside(chars: str) -> str:
+    """These characters, neighbours merged into one range."""
+    points = sorted(ord(c) for c in set(chars))
+    starts = [p for p in points if p - 1 not in points]
+    ends = [p for p in points if p + 1 not in points]
+    return char_class(zip(starts, ends))
+
+
+VISIBLE = outside(WHITESPACE)
+BLANK = inside(WHITESPACE)
 WORD_PATTERN = "[\\p{L}\\p{N}_]{2,}"
 
 
@@ -50,15 +70,21 @@ def clean_review(c: Column, accents: bool) -> Column:
     outside the kept set (white space included) becomes one space, so two passes over
     the text do the work. Null gives the empty string.
     """
-    kept = ACCENT_KEPT if accents else ASCII_KEPT
-    words = F.regexp_replace(F.lower(c), f"(?:http|[@#])[^{WS_CLASS}]+", " ")
-    spaced = F.regexp_replace(words, f"[^{kept}]+", " ")
+    noise = outside(ACCENT_KEPT if accents else ASCII_KEPT)
+
+    def unlinked(s: Column) -> Column:
+        marked = s.contains("http") | s.contains("@") | s.contains("#")
+        plain = F.regexp_replace(s, f"(?:http|[@#]){VISIBLE}+", " ")
+        return F.when(marked, plain).otherwise(s)
+
+    words = bind(F.lower(c), unlinked)
+    spaced = F.regexp_replace(words, f"{noise}+", " ")
     return F.coalesce(F.trim(spaced), F.lit(""))
 
 
 def split_words(c: Column) -> Column:
     """Maximal runs of non-space characters."""
-    return F.regexp_extract_all(c, F.lit(f"[^{WS_CLASS}]+"), F.lit(0))
+    return F.array_remove(F.split(c, f"{BLANK}+"), "")
 
 
 def word_count(c: Column) -> Column:
@@ -72,7 +98,7 @@ def word_tokens(c: Column) -> Column:
 
 def first_word(c: Column) -> Column:
     """First non-space run; empty when there is none."""
-    return F.regexp_extract(c, f"[^{WS_CLASS}]+", 0)
+    return F.regexp_extract(c, f"{VISIBLE}+", 0)
 
 
 def last_line_token(c: Column) -> Column:

@@ -27,9 +27,9 @@ def hash_digits(key: Column) -> list[Column]:
 
 
 def long_digits(c: Column) -> list[Column]:
-    """Blocks of 65,536 neighbouring integers, below groups of 2^24 such blocks."""
+    """Blocks of 1,024 neighbouring integers, below groups of 2^22 such blocks."""
     value = c.cast("bigint")
-    return [F.shiftright(value, 40), F.shiftright(value, 16)]
+    return [F.shiftright(value, 32), F.shiftright(value, 10)]
 
 
 def dense_digits(c: Column) -> list[Column]:

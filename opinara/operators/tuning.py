@@ -354,14 +354,12 @@ def pack_wrapped(df: DataFrame, tokens: str, length: int, key: str) -> DataFrame
     Each row knows its first token's position in the whole stream, so it hands one
     slice to every sequence it touches, and a sequence gathers at most ``length`` tokens.
     """
-    sized = df.select(key, F.col(tokens).alias("__t"), F.size(tokens).alias("__n")).where("__n > 0")
+    sized = df.select(key, F.col(tokens).alias("__t"), F.size(tokens).alias("__n"))
     placed = running_total(sized, [F.col(key)], long_digits(F.col(key)), {"__end": F.col("__n")})
     start = F.col("__end") - F.col("__n")
+    spans = F.sequence(F.floor(start / length), F.floor((F.col("__end") - 1) / length))
     touched = placed.withColumns(
-        {
-            "__start": start,
-            "seq": F.explode(F.sequence(F.floor(start / length), F.floor((F.col("__end") - 1) / length))),
-        }
+        {"__start": start, "seq": F.explode(F.when(F.col("__n") > 0, spans))}
     )
     low = F.greatest(F.col("seq") * length - F.col("__start"), F.lit(0))
     high = F.least((F.col("seq") + 1) * length - F.col("__start"), F.col("__n"))
@@ -403,12 +401,12 @@ def pack_best_fit(
     a join on the id.
     """
     cut = df.select(F.col(key).alias("key"), tk.truncate_tokens(F.col(tokens), length).alias("__t"))
-    sized = cut.select("key", F.size("__t").cast("int").alias("n")).where("n > 0")
+    sized = cut.select("key", F.size("__t").cast("int").alias("n"))
     shard = F.floor((F.col("pos") - 1) / shard_rows).alias("shard")
     sharded = id_positions(sized, "key", out="pos").select("key", "n", shard)
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        return _best_fit(rows, length)[["key", "shard", "bin", "n"]]
+        return _best_fit(rows[rows["n"] > 0], length)[["key", "shard", "bin", "n"]]
 
     packed = sharded.groupBy("shard").applyInPandas(
         pack, "key bigint, shard bigint, bin bigint, n int"

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from opinara.functions import lexicons as lx
 from opinara.functions.text import WHITESPACE
 from opinara.operators.labeling import ARABIZI, ENGLISH, FRENCH, SourceSpec, label_reviews
-from opinara.sources.files import read_table
+from opinara.sources.files import read_table, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,7 +42,7 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, directory: str) -> DataFrame:
-    return table(spark, directory, "documents")
+    return spread(table(spark, directory, "documents"), "doc_id")
 
 
 # ---- SQL text for the checking engine -------------------------------------------------

@@ -11,6 +11,7 @@ from opinara.operators import outliers as ol
 from opinara.operators import profiling as pf
 from opinara.operators.sampling import top_values
 from opinara.plans.base import documents, query, quoted, table
+from opinara.sources.files import spread
 
 LINE_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 LINE_TYPES = dict.fromkeys(LINE_COLS, "double")
@@ -284,5 +285,5 @@ def o1(spark, d):
 
 @query("o2_isolation_forest")
 def o2(spark, d):
-    out = ol.isolation_forest(table(spark, d, "events"), ["user_id", "value"], "event_id")
+    out = ol.isolation_forest(spread(table(spark, d, "events"), "event_id"), ["user_id", "value"], "event_id")
     return out.where("iso_label = -1")
