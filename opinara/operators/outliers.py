@@ -69,16 +69,22 @@ def fit_forest(
 ) -> list[np.ndarray]:
     """One node array per tree, each grown on up to 256 rows.
 
-    The rows are taken from a seeded sample of at most ``256 * trees`` rows, so one
-    pass serves every tree, and the forest that returns to the driver has at most
-    ``511 * trees`` nodes whatever the table size.
+    The rows come from one seeded sample of at most ``256 * trees`` rows, written once:
+    a full sample is dealt out among the trees, a smaller one is drawn from anew by
+    each tree. The forest that returns to the driver has at most ``511 * trees`` nodes
+    whatever the table size.
     """
     values = [F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)]
-    pool = first_by_hash(df.select(F.col(key).alias("key"), *values), "key", seed, SAMPLE * trees)
-    dealt = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    dealt = dealt.withColumn("turn", hash_key(seed, F.col("tree"), F.col("key")))
-    order = Window.partitionBy("tree").orderBy("turn", "key")
-    sample = dealt.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE)
+    narrow = df.select(F.col(key).alias("key"), *values)
+    pool = cut_lineage(first_by_hash(narrow, "key", seed, SAMPLE * trees))
+    if pool.count() == SAMPLE * trees:
+        turn = Window.orderBy(hash_key(seed, F.col("key")), "key")
+        place = F.row_number().over(turn) - 1
+        sample = pool.withColumns({"place": place}).withColumn("tree", F.col("place") % trees)
+    else:
+        dealt = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+        turn = Window.partitionBy("tree").orderBy(hash_key(seed, F.col("tree"), F.col("key")), "key")
+        sample = dealt.withColumn("place", F.row_number().over(turn)).where(F.col("place") <= SAMPLE)
     names = [f"x{i}" for i in range(len(cols))]
 
     def grow(rows: pd.DataFrame) -> pd.DataFrame:

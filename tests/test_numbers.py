@@ -187,3 +187,23 @@ def test_vector_tfidf_equals_relational_tfidf(spark, data):
         for i, w in enumerate(r["v"]):
             if w and words[i] in common and (r["doc_id"], words[i]) in rel:
                 assert w == pytest.approx(rel[r["doc_id"], words[i]], rel=0.05)
+
+
+def test_most_frequent_is_the_same_with_and_without_the_first_pass(spark):
+    from opinara.operators import features as ft
+
+    counts = spark.range(1, 3000).select(
+        F.concat(F.lit("t"), F.col("id")).alias("term"),
+        F.floor(3000 / F.col("id")).alias("total"),
+        F.lit(1).alias("df"),
+    )
+    for k in (1, 7, 500, 5000):
+        plain = ft.most_frequent(counts, "total", "term", k)
+        cut = ft.most_frequent(counts, "total", "term", k, merge_rows=0)
+        assert plain.collect() == cut.collect()
+
+
+def test_full_sample_is_dealt_out(spark):
+    df = spark.range(2000).select("id", F.rand(1).alias("x"), F.rand(2).alias("y"))
+    forest = ol.fit_forest(df, ["x", "y"], "id", trees=4)
+    assert len(forest) == 4 and all(len(t) > 100 for t in forest)

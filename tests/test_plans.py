@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
 from opinara.plans.base import QUERIES
 
@@ -30,8 +32,22 @@ def test_scan_reads_only_what_is_asked(spark, data):
 
 
 def test_hints_need_no_shuffle_and_no_python(spark, data):
-    text = plan(QUERIES["l1_hint_french"](spark, data))
+    from opinara.functions.lexicons import FRENCH_LEXICON
+    from opinara.functions.labels import keyword_hint
+    from opinara.functions.text import clean_review
+    from opinara.sources.files import read_table
+
+    docs = read_table(spark, data, "documents")
+    cleaned = docs.select("doc_id", clean_review(F.col("text"), True).alias("c"))
+    text = plan(cleaned.select("doc_id", keyword_hint(F.col("c"), FRENCH_LEXICON).alias("hint")))
     assert "Exchange" not in text and "Python" not in text
+    assert text.count("regexp_replace") <= 2  # cleaned once
+
+
+def test_labels_are_not_computed_for_positions(spark, data):
+    """The branch that counts blocks reads ids only."""
+    text = plan(QUERIES["j1_combine_sources"](spark, data))
+    assert "ReadSchema: struct<doc_id:bigint,lang:string>" in text
 
 
 def test_no_one_task_window_over_rows(spark, data):
