@@ -25,7 +25,10 @@ def test_no_pairwise_plans(spark, data):
 
 
 def test_scan_reads_only_what_is_asked(spark, data):
-    text = plan(QUERIES["a1_value_counts"](spark, data))
+    from opinara.operators.sampling import top_values
+    from opinara.sources.files import read_table
+
+    text = plan(top_values(read_table(spark, data, "documents"), "lang"))
     assert "ReadSchema: struct<lang:string>" in text
     text = plan(QUERIES["l5_hint_sentence"](spark, data))
     assert re.search(r"PushedFilters: \[.*EqualTo\(lang,fr\)", text)
