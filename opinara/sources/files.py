@@ -47,17 +47,19 @@ def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores on a table too small to fill them.
+    """Use all cores on a table too small to fill a quarter of them.
 
     A scan has no more tasks with work than the files have row groups, so a table of one
-    small file would run all its text functions in one task. Inputs of a full scan split
-    per core or more are left as they are: they need no shuffle to be parallel.
+    small file would run all its text functions in one task. Larger inputs are left as
+    they are: they are parallel without a shuffle.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores, key) if size < cores * split else df
+    if 4 * size > cores * split or 4 * len(df.inputFiles()) > cores:
+        return df
+    return df.repartition(cores, key)
 
 
 def write_table(
