@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinara.functions import lexicons as lx
-from opinara.functions.text import WHITESPACE
+from opinara.functions.labels import keyword_hint
+from opinara.functions.text import WHITESPACE, clean_review
 from opinara.operators.labeling import ARABIZI, ENGLISH, FRENCH, SourceSpec, label_reviews
 from opinara.sources.files import read_table, spread
 
@@ -184,9 +185,6 @@ LABELLED_SQL = (
 # Two label columns to compare: the label of the source and another lexicon's guess.
 def predictions(spark: SparkSession, directory: str) -> DataFrame:
     """``(id, y_true, y_pred)``: the corpus label against the shared French lexicon's."""
-    from opinara.functions.labels import keyword_hint
-    from opinara.functions.text import clean_review
-
     cleaned = labelled_corpus(spark, directory).withColumn("c", clean_review(F.col("text"), True))
     guess = F.coalesce(keyword_hint(F.col("c"), lx.FRENCH_LEXICON), F.lit(lx.FALLBACK))
     return cleaned.select("id", F.col("criteria").alias("y_true"), guess.alias("y_pred"))
@@ -199,13 +197,12 @@ PREDICTIONS_SQL = (
 
 # Prompt and two answers per document: its first line, the rest, and the rest as another
 # hand would have written it.
-PAIR = (
-    "SELECT doc_id AS id, substring_index(text, chr(10), 1) AS prompt, "
-    "concat(chr(10), substring(text, length(substring_index(text, chr(10), 1)) + 2)) AS chosen, "
-    "replace(substring(text, length(substring_index(text, chr(10), 1)) + 2), 'e', 'ee ') AS rejected "
+PAIR_SQL = (
+    "SELECT doc_id AS id, split_part(text, chr(10), 1) AS prompt, "
+    "concat(chr(10), substring(text, length(split_part(text, chr(10), 1)) + 2)) AS chosen, "
+    "replace(substring(text, length(split_part(text, chr(10), 1)) + 2), 'e', 'ee ') AS rejected "
     "FROM documents"
 )
-PAIR_SQL = PAIR.replace("substring_index(text, chr(10), 1)", "split_part(text, chr(10), 1)")
 
 
 def pairs(spark: SparkSession, directory: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from opinara.functions import lexicons as lx
-from opinara.functions.text import strip_ws
+from opinara.functions.text import strip_ws, word_count
 from opinara.operators import filters as fl
 from opinara.operators import metrics as mt
 from opinara.operators import profiling as pf
@@ -33,7 +33,7 @@ from opinara.plans.base import (
     table,
 )
 from opinara.session import cut_lineage, scratch_path
-from opinara.sources.files import null_tokens, read_reviews_csv, write_table
+from opinara.sources.files import read_reviews_csv, write_table
 
 DOC_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -142,8 +142,6 @@ def f7(spark, d):
 
 @query("f8_max_tokens", f"SELECT doc_id, len({sql_words('text')}) AS n FROM documents WHERE len({sql_words('text')}) < 250")
 def f8(spark, d):
-    from opinara.functions.text import word_count
-
     kept = fl.max_tokens(documents(spark, d), ["text"], 249)
     return kept.select("doc_id", word_count(F.col("text")).cast("bigint").alias("n"))
 
