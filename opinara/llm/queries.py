@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from opinara.llm import checks
+from opinara.llm.decontaminate import contamination
+from opinara.llm.near_dup import THREE_WORDS, near_duplicates
 from opinara.llm.records import index_records, record_table, write_records
 from opinara.llm.registry import CHECKS, QUERIES, table
 from opinara.llm.token_counts import count_tokens
@@ -13,6 +16,14 @@ from opinara.session import scratch_path
 END_ID = 2  # closes a document in the packed and written sequences
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), THREE_WORDS)
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary_path(WORD_BPE))
 
@@ -27,9 +38,15 @@ def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {
+    "op2_near_duplicates": op2_near_duplicates,
+    "op3_decontamination": op3_decontamination,
     "op4_token_counts": op4_token_counts,
     "op10_records": op10_records,
 }
+CHECKS |= {
+    "op2_near_duplicates": checks.NEAR_DUPLICATES,
+    "op3_decontamination": checks.CONTAMINATION,
+}
 
 
 def load():
