@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from opinara.llm import checks
 from opinara.llm.decontaminate import contamination
 from opinara.llm.near_dup import THREE_WORDS, near_duplicates
+from opinara.llm.packing import pack_documents
+from opinara.llm.quality import quality
 from opinara.llm.records import index_records, record_table, write_records
 from opinara.llm.registry import CHECKS, QUERIES, table
 from opinara.llm.token_counts import count_tokens
@@ -28,6 +30,14 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary_path(WORD_BPE))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary_path(BYTE_BPE), END_ID)
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"))
+
+
 def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "records")
     vocabulary = vocabulary_path(BYTE_BPE)
@@ -41,6 +51,8 @@ QUERIES |= {
     "op2_near_duplicates": op2_near_duplicates,
     "op3_decontamination": op3_decontamination,
     "op4_token_counts": op4_token_counts,
+    "op7_packing": op7_packing,
+    "op9_quality": op9_quality,
     "op10_records": op10_records,
 }
 CHECKS |= {
