@@ -11,6 +11,7 @@ from opinara.llm.packing import pack_documents
 from opinara.llm.quality import quality
 from opinara.llm.records import index_records, record_table, write_records
 from opinara.llm.registry import CHECKS, QUERIES, table
+from opinara.llm.suffix_tree import score_texts
 from opinara.llm.token_counts import count_tokens
 from opinara.llm.tokenizing import BYTE_BPE, WORD_BPE, vocabulary_path
 from opinara.session import scratch_path
@@ -34,6 +35,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary_path(BYTE_BPE), END_ID)
 
 
+def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
@@ -52,6 +57,7 @@ QUERIES |= {
     "op3_decontamination": op3_decontamination,
     "op4_token_counts": op4_token_counts,
     "op7_packing": op7_packing,
+    "op8_suffix_tree": op8_suffix_tree,
     "op9_quality": op9_quality,
     "op10_records": op10_records,
 }
