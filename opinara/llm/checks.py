@@ -42,3 +42,38 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN covered USING (r) LEFT JOIN items USING (r)
 """
+
+URL_LOWER = "translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+REST = "CASE WHEN instr({0}, '://') > 0 THEN substr({0}, instr({0}, '://') + 3) ELSE '' END"
+
+URL_FILTER = rf"""
+WITH p AS (SELECT row_number() OVER () AS r, page_id, url, {URL_LOWER} AS low, {REST.format("coalesce(url, '')")} AS rest FROM pages),
+q AS (SELECT r, page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, low, {REST.format("low")} AS lrest FROM p),
+t AS (SELECT r, page_id, host, path, CASE WHEN instr(low, '://') = 0 THEN []::VARCHAR[] ELSE list_sort(list_distinct(
+  ['scheme=' || split_part(low, '://', 1)]
+  || ['host=' || x FOR x IN string_split(regexp_extract(lrest, '^([^/?#]*)', 1), '.')]
+  || ['path=' || regexp_replace(x, '[0-9]+', 'N', 'g') FOR x IN string_split(regexp_extract(lrest, '^[^/?#]*([^?#]*)', 1), '/') IF x <> '']
+  || ['query=' || split_part(x, '=', 1) FOR x IN string_split(regexp_extract(lrest, '^[^?#]*\?([^#]*)', 1), '&') IF x <> ''])) END AS ts,
+  try_cast(regexp_extract(path, '^/[^/]*/([0-9]{{1,18}})', 1) AS BIGINT) AS doc_id FROM q),
+l AS (SELECT t.r, ts, coalesce(quality = 0, false) OR coalesce(toxic = 1, false) AS bad FROM t JOIN labels USING (doc_id)
+  WHERE quality = 0 OR toxic = 1 OR (quality IS NOT NULL AND toxic IS NOT NULL)),
+n AS (SELECT greatest(10, ceil(0.002 * count(*))) AS least FROM l),
+u AS (SELECT row_number() OVER () AS k, ts, bad FROM l),
+e AS (SELECT k, bad, unnest(ts) AS x FROM u),
+c AS (
+  SELECT [a.x] AS c, a.bad FROM e AS a
+  UNION ALL SELECT [a.x, b.x], a.bad FROM e AS a JOIN e AS b ON a.k = b.k AND a.x < b.x
+  UNION ALL SELECT [a.x, b.x, d.x], a.bad FROM e AS a JOIN e AS b ON a.k = b.k AND a.x < b.x JOIN e AS d ON b.k = d.k AND b.x < d.x),
+rules AS (SELECT c, count(*) FILTER (bad) / count(*) AS confidence FROM c GROUP BY c
+  HAVING count(*) FILTER (bad) >= (SELECT least FROM n) AND count(*) FILTER (bad) / count(*) >= 0.5),
+m AS (SELECT t.r, max(confidence) AS confidence FROM t JOIN rules ON list_has_all(t.ts, rules.c) GROUP BY t.r),
+v AS (SELECT *, CASE
+  WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+  WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+  WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+  WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+  WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule FROM t LEFT JOIN m USING (r))
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+  WHEN confidence IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict, confidence FROM v
+"""

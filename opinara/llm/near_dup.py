@@ -10,8 +10,10 @@
    whose sketches may reach the threshold are confirmed on full sets; links join classes
    into components.
 4. Buckets that still hold several components are compared in blocks of bounded size,
-   each pair of blocks in its own group of rows, and only across components. What the
-   sketches let through is confirmed likewise. So no link is lost that a band has seen,
+   each pair of blocks in its own group of rows, by sketch. Components that sketches
+   cannot tell apart form clusters, in which all pairs of different components are
+   compared on full sets, again in pairs of blocks. A group of rows gives only the edges
+   that join components, fewer than it has rows. So no link is lost that a band has seen,
    and a bucket of thousands of copies, one component by then, is not compared again.
 """
 
@@ -45,6 +47,7 @@ class Settings:
     bits: int = 512
     margin: float = 6.0
     block: int = 512
+    set_block: int = 128
     filter_bits: int = 1 << 23
 
     @property
@@ -211,51 +214,146 @@ def confirm(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     return both.where(f"100 * shared >= {s.percent} * (na + nb - shared)").select("a", "b")
 
 
-def block_pairs(rows: DataFrame, s: Settings) -> DataFrame:
-    """Pairs across components within each group of rows ``(h, i, j)``, by sketch."""
+class Forest:
+    """Joined names, for edges that join what was apart."""
+
+    def __init__(self, names: np.ndarray):
+        self.names, self.of = np.unique(names, return_inverse=True)
+        self.root = np.arange(len(self.names))
+
+    def roots(self, rows) -> np.ndarray:
+        return self.root[self.of[rows]]
+
+    def join(self, x: int, y: int) -> tuple[int, int] | None:
+        a, b = self.root[self.of[x]], self.root[self.of[y]]
+        if a == b:
+            return None
+        self.root[self.root == b] = a
+        return int(self.names[self.of[x]]), int(self.names[self.of[y]])
+
+
+def by_blocks(rows: DataFrame, key: str, block: int, size: str = "size") -> DataFrame:
+    """Rows once for every pair of blocks of their group that they belong to.
+
+    A group of ``size`` rows is cut into blocks by hash. Two blocks, or one with itself,
+    make a group ``(key, i, j)`` of a bounded number of rows.
+    """
+    blocks = F.ceil(F.col(size) / block).cast("int")
+    return (
+        rows.withColumn("blk", F.pmod(F.xxhash64("cid"), blocks).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .withColumn("i", F.least("blk", "other"))
+        .withColumn("j", F.greatest("blk", "other"))
+        .drop("other", size)
+        .repartition(key, "i", "j")
+        .sortWithinPartitions(key, "i", "j")
+    )
 
-    def compare(g: dict[str, np.ndarray]):
-        order = np.argsort(g["n"], kind="stable")
-        n, comp, cid, blk, k = (g[c][order] for c in ("n", "comp", "cid", "blk", "sketch"))
-        i, j = g["i"][0], g["j"][0]
-        for x in range(len(n)):
-            high = np.searchsorted(n, n[x] * 100 // s.percent, side="right")
-            y = np.arange(x + 1, high)
-            y = y[(comp[y] != comp[x]) & ((blk[y] != blk[x]) if i != j else True)]
-            if len(y):
-                differ = np.bitwise_count(k[y] ^ k[x]).sum(1)
-                y = y[differ <= s.most_bits]
-                for z in y:
-                    yield min(cid[x], cid[z]), max(cid[x], cid[z])
+
+def edges_in_groups(rows: DataFrame, key: str, find) -> DataFrame:
+    """Edges ``(a, b)`` that ``find`` yields for each group of sorted rows ``(key, i, j)``."""
 
     def run(batches):
-        held: dict[str, np.ndarray] | None = None
-        names = ["h", "i", "j", "cid", "comp", "n", "blk"]
+        held: list[pa.RecordBatch] = []
+        last = None
         for batch in batches:
-            new = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
-            flat = batch.column("sketch").flatten().to_numpy(zero_copy_only=False)
-            new["sketch"] = flat.view(np.uint64).reshape(batch.num_rows, -1)
-            if held is not None and len(held["h"]):
-                new = {c: np.concatenate([held[c], new[c]]) for c in new}
-            if not len(new["h"]):
+            if not batch.num_rows:
                 continue
-            change = (new["h"][1:] != new["h"][:-1]) | (new["i"][1:] != new["i"][:-1]) | (new["j"][1:] != new["j"][:-1])
-            ends = np.flatnonzero(change) + 1
-            yield from pack(new, [0, *ends.tolist()])
-            last = int(ends[-1]) if len(ends) else 0
-            held = {c: v[last:] for c, v in new.items()}
-        if held is not None and len(held["h"]):
-            yield from pack(held, [0, len(held["h"])])
-
-    def pack(new, cuts):
-        for low, high in zip(cuts, cuts[1:]):
-            found = list(compare({c: v[low:high] for c, v in new.items()}))
+            k = [batch.column(c).to_numpy(zero_copy_only=False) for c in (key, "i", "j")]
+            change = np.zeros(batch.num_rows, bool)
+            for v in k:
+                change[1:] |= v[1:] != v[:-1]
+            change[0] = last is not None and last != tuple(v[0] for v in k)
+            low = 0
+            for high in np.flatnonzero(change).tolist():
+                if high > low:
+                    held.append(batch.slice(low, high - low))
+                yield from emit(held)
+                held, low = [], high
+            held.append(batch.slice(low))
+            last = tuple(v[-1] for v in k)
+        yield from emit(held)
+
+    def emit(held):
+        if held:
+            found = list(find(pa.Table.from_batches(held).combine_chunks()))
             if found:
                 a, b = zip(*found)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    grouped = rows.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
-    return grouped.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def column(g: pa.Table, name: str) -> np.ndarray:
+    return g.column(name).to_numpy()
+
+
+def flat(g: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Values and offsets of a list column."""
+    lists = g.column(name).combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    lengths = np.diff(lists.offsets.to_numpy())
+    return lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lengths)])
+
+
+def plausible(s: Settings):
+    """Edges that join the components of a bucket which sketches cannot tell apart."""
+
+    def find(g: pa.Table):
+        n, comp, blk = column(g, "n"), column(g, "comp"), column(g, "blk")
+        across = g.column("i")[0] != g.column("j")[0]
+        k = flat(g, "sketch")[0].view(np.uint64).reshape(len(n), -1)
+        order = np.argsort(n, kind="stable")
+        n, comp, blk, k = n[order], comp[order], blk[order], k[order]
+        forest = Forest(comp)
+        if len(forest.names) < 2:
+            return
+        for x in range(len(n)):
+            y = np.arange(x + 1, np.searchsorted(n, n[x] * 100 // s.percent, side="right"))
+            if across:
+                y = y[blk[y] != blk[x]]
+            y = y[forest.roots(y) != forest.roots(x)]
+            y = y[np.bitwise_count(k[y] ^ k[x]).sum(1) <= s.most_bits] if len(y) else y
+            for z in y.tolist():
+                edge = forest.join(x, z)
+                if edge:
+                    yield edge
+
+    return find
+
+
+def linked(s: Settings):
+    """Edges that join components of a cluster by links of full sets, all pairs compared."""
+
+    def find(g: pa.Table):
+        comp, blk = column(g, "comp"), column(g, "blk")
+        across = g.column("i")[0] != g.column("j")[0]
+        forest = Forest(comp)
+        if len(forest.names) < 2:
+            return
+        items, at = flat(g, "items")
+        n, rows = np.diff(at), np.repeat(np.arange(len(comp)), np.diff(at))
+        _, name, times = np.unique(items, return_inverse=True, return_counts=True)
+        again = times > 1
+        name, rows = (np.cumsum(again) - 1)[name[again[name]]], rows[again[name]]
+        shared = np.zeros((len(n), len(n)), np.float32)
+        order = np.argsort(name, kind="stable")
+        name, rows = name[order], rows[order]
+        for low in range(0, int(again.sum()), 8192):
+            part = slice(*np.searchsorted(name, [low, low + 8192]))
+            held = np.zeros((len(n), 8192), np.float32)
+            held[rows[part], name[part] - low] = 1
+            shared += held @ held.T
+        link = 100.0 * shared >= float(s.percent) * (n[:, None] + n[None, :] - shared)
+        link &= comp[:, None] != comp[None, :]
+        if across:
+            link &= blk[:, None] != blk[None, :]
+        for x, y in np.argwhere(np.triu(link, 1)).tolist():
+            edge = forest.join(x, y)
+            if edge:
+                yield edge
+
+    return find
 
 
 def near_duplicates(
@@ -310,18 +408,16 @@ def near_duplicates(
     open_buckets = (
         placed.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("h")
     )
-    blocks = F.ceil(F.col("size") / s.block).cast("int")
-    spread = (
-        placed.join(open_buckets, "h", "left_semi")
-        .join(classes.select("cid", F.col("n_shingles").alias("n"), "sketch"), "cid")
-        .withColumn("blk", F.pmod(F.xxhash64("cid"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("h", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "cid", "comp", "n", "blk", "sketch")
+    sketches = classes.select("cid", F.col("n_shingles").alias("n"), "sketch")
+    opened = placed.join(open_buckets, "h", "left_semi").join(sketches, "cid")
+    coarse = components(edges_in_groups(by_blocks(opened, "h", s.block), "h", plausible(s)))
+    # components that a sketch cannot tell apart: all their pairs, on full sets
+    inside = placed.select("cid", F.col("comp").alias("node")).distinct().join(coarse, "node").select(
+        F.col("component").alias("cluster"), "cid", F.col("node").alias("comp")
     )
-    across = block_pairs(spread, s).distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-    sizes = classes.select("cid", "n_shingles")
-    across = across.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
-    more = confirm(across.select("a", "b", "na", "nb"), sets, s)
+    sizes = inside.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    clusters = inside.join(sizes, "cluster").join(sets, "cid")
+    more = edges_in_groups(by_blocks(clusters, "cluster", s.set_block), "cluster", linked(s))
     grouped = components(
         first.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
     )

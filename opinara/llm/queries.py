@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from opinara.llm import checks
 from opinara.llm.decontaminate import contamination
@@ -13,12 +14,24 @@ from opinara.llm.records import index_records, record_table, write_records
 from opinara.llm.registry import CHECKS, QUERIES, table
 from opinara.llm.suffix_tree import score_texts
 from opinara.llm.token_counts import count_tokens
+from opinara.llm.url_filter import judge_urls, path_of
 from opinara.llm.tokenizing import BYTE_BPE, WORD_BPE, vocabulary_path
 from opinara.session import scratch_path
 
 END_ID = 2  # closes a document in the packed and written sequences
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages judged; a page is labelled as the document is whose number its path has."""
+    pages = table(spark, sf_dir, "pages")
+    number = F.regexp_extract(path_of(F.col("url")), r"^/[^/]*/([0-9]{1,18})", 1)
+    urls = pages.select("url", number.alias("n")).selectExpr("url", "try_cast(n AS BIGINT) AS doc_id")
+    labels = table(spark, sf_dir, "labels").select(
+        "doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad")
+    )
+    return judge_urls(pages, urls.join(labels, "doc_id"))
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), THREE_WORDS)
 
@@ -53,6 +66,7 @@ def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {
+    "op1_url_filter": op1_url_filter,
     "op2_near_duplicates": op2_near_duplicates,
     "op3_decontamination": op3_decontamination,
     "op4_token_counts": op4_token_counts,
@@ -62,6 +76,7 @@ QUERIES |= {
     "op10_records": op10_records,
 }
 CHECKS |= {
+    "op1_url_filter": checks.URL_FILTER,
     "op2_near_duplicates": checks.NEAR_DUPLICATES,
     "op3_decontamination": checks.CONTAMINATION,
 }
