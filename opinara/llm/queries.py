@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from opinara.llm import checks
 from opinara.llm.decontaminate import contamination
+from opinara.llm.html_text import extract_text
 from opinara.llm.licenses import scan_licenses
 from opinara.llm.near_dup import THREE_WORDS, near_duplicates
 from opinara.llm.packing import pack_documents
@@ -49,6 +50,10 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary_path(BYTE_BPE), END_ID)
 
@@ -76,6 +81,7 @@ QUERIES |= {
     "op3_decontamination": op3_decontamination,
     "op4_token_counts": op4_token_counts,
     "op5_licenses": op5_licenses,
+    "op6_html_text": op6_html_text,
     "op7_packing": op7_packing,
     "op8_suffix_tree": op8_suffix_tree,
     "op9_quality": op9_quality,
