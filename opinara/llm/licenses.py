@@ -69,7 +69,7 @@ FILTER_BITS = 1 << 20
 class Settings:
     k: int = 3
     gap: int = 2  # between diagonals of one notice
-    coverage: float = 0.7  # of a template's hashes
+    coverage: float = 0.6  # of a template's hashes
 
 
 def template_index(templates, k: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, str, int]]]:

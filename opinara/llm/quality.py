@@ -237,7 +237,13 @@ def fit(counted: DataFrame, s: Settings) -> DataFrame:
     rows = counted.where(~base_failed(c)).select("lang", "source", *(v.alias(x) for v, x in zip(vector(c), X)))
     rows = materialize(rows, "vectors")
     keys = materialize(group_keys(rows, s), "groups")
-    rows = same_source(rows, keys).select(*GROUP, *X)
+    model = estimate_groups(same_source(rows, keys).select(*GROUP, *X), s)
+    known = model.where(F.col("rows") >= s.share * s.least_rows)
+    return keys.join(known, GROUP).select("lang", "source", "mean", "inverse")
+
+
+def estimate_groups(rows: DataFrame, s: Settings) -> DataFrame:
+    """``MODEL`` of every group of the vectors ``rows``."""
     mid = bin_median(rows, {x: F.col(x) for x in X}, 1 / 512)
     mids = mid.select(*GROUP, *(F.col(x).alias(f"m{i}") for i, x in enumerate(X)))
     off = rows.join(mids, GROUP).select(*GROUP, *(F.abs(F.col(x) - F.col(f"m{i}")).alias(f"d{i}") for i, x in enumerate(X)))
@@ -276,8 +282,7 @@ def fit(counted: DataFrame, s: Settings) -> DataFrame:
         if step == 1:
             best = Window.partitionBy(*GROUP).orderBy("logdet", "start")
             model = model.withColumn("r", F.row_number().over(best)).where("r = 1").drop("r")
-    known = model.where(F.col("rows") >= s.share * s.least_rows)
-    return keys.join(known, GROUP).select("lang", "source", "mean", "inverse")
+    return model
 
 
 def verdict(counts: str, mean: str, inverse: str, s: Settings) -> Column:
