@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HASH_DIGITS = 3  # hex digits of the hash: 4096 blocks
+HASH_DIGITS = (3, 6)  # hex digits of the hash: 4,096 blocks of 4,096 blocks each
 
 
 def hash_key(seed: int | str, *cols: Column) -> Column:
@@ -23,13 +23,14 @@ def hash_key(seed: int | str, *cols: Column) -> Column:
 
 
 def hash_digits(key: Column) -> list[Column]:
-    return [F.substring(key, 1, HASH_DIGITS)]
+    return [F.substring(key, 1, n) for n in HASH_DIGITS]
 
 
 def long_digits(c: Column) -> list[Column]:
-    """Blocks of 1,024 neighbouring integers, below groups of 2^22 such blocks."""
+    """Sixteen bits a level: any window over distinct integers, dense or sparse, holds at
+    most 65,536 of them."""
     value = c.cast("bigint")
-    return [F.shiftright(value, 32), F.shiftright(value, 10)]
+    return [F.shiftright(value, 48), F.shiftright(value, 32), F.shiftright(value, 16)]
 
 
 def dense_digits(c: Column) -> list[Column]:
@@ -38,11 +39,15 @@ def dense_digits(c: Column) -> list[Column]:
 
 
 def double_digits(c: Column) -> list[Column]:
-    """Blocks of numbers of one sign within one part in about 6,000: 4,096 per power of
-    two, so a column that spans twenty of them has some 80,000 blocks."""
+    """Sign and power of two, then sixteen more bits of the fraction a level."""
     value = c.cast("double")
-    scaled = F.floor((F.log2(F.abs(value)) + 1100.0) * 4096)
-    return [F.when(value == 0, F.lit(0)).otherwise(scaled * F.signum(value).cast("bigint"))]
+    size, sign = F.abs(value), F.signum(value).cast("bigint")
+    plain = (size > 0) & (size < float("inf"))
+    power = F.floor(F.log2(F.when(plain, size)))
+    fraction = size / F.pow(F.lit(2.0), power) - 1
+    top = F.when(plain, power + 1100).when(size > 0, 9999).otherwise(0)
+    levels = [F.coalesce(F.floor(fraction * float(1 << n)), F.lit(0)) for n in (16, 32)]
+    return [sign * x.cast("bigint") for x in (top, *levels)]
 
 
 def _non_null(c: Column) -> Column:
@@ -166,20 +171,21 @@ def hash_positions(
 def first_by_hash(df: DataFrame, key: str, seed: int | str, n: int) -> DataFrame:
     """The first ``n`` rows of the seeded shuffle.
 
-    Only blocks that start inside the first ``n`` rows are ranked. Without a part there
-    are at most 16^HASH_DIGITS blocks, so their table is small whatever the data.
+    Only top-level blocks that start inside the first ``n`` rows are ranked; there are
+    at most 4,096 of them, so their table is small whatever the data.
     """
     keyed = df.withColumn("__hash", hash_key(seed, F.col(key)))
-    keyed = keyed.withColumn("__block", F.substring("__hash", 1, HASH_DIGITS))
+    keyed = keyed.withColumn("__block", F.substring("__hash", 1, HASH_DIGITS[0]))
     counts = keyed.groupBy("__block").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(
         "__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start")
     ).where(F.col("__start") < n)
-    inside = Window.partitionBy("__block").orderBy("__hash", key)
-    near = keyed.join(F.broadcast(starts), "__block")
-    ranked = near.withColumn("__rank", F.row_number().over(inside) + F.col("__start"))
-    return ranked.where(F.col("__rank") <= n).drop("__hash", "__block", "__start", "__rank")
+    near = keyed.join(F.broadcast(starts.select("__block")), "__block", "left_semi")
+    ranked = running_total(
+        near, [F.col("__hash"), F.col(key)], hash_digits(F.col("__hash")), {"__rank": F.lit(1)}
+    )
+    return ranked.where(F.col("__rank") <= n).drop("__hash", "__block", "__rank")
 
 
 def lookup_join(

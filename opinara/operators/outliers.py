@@ -7,14 +7,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opinara.operators.ordering import first_by_hash, hash_key
+from opinara.operators.ordering import id_positions
 from opinara.operators.profiling import exact_quantiles, fence_struct, is_missing
 from opinara.session import cut_lineage
 
-SAMPLE = 256  # rows per tree, the size the method was published with
+SAMPLE = 256  # default rows per tree, the size the method was published with
 
 
 def iqr_outliers(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> DataFrame:
@@ -65,26 +65,30 @@ def _grow(points: np.ndarray, rng: np.random.Generator) -> list[tuple]:
 
 
 def fit_forest(
-    df: DataFrame, cols: Sequence[str], key: str, trees: int = 100, seed: int = 42
+    df: DataFrame,
+    cols: Sequence[str],
+    key: str,
+    trees: int = 100,
+    seed: int = 42,
+    sample: int = SAMPLE,
 ) -> list[np.ndarray]:
-    """One node array per tree, each grown on up to 256 rows.
+    """One node array per tree, each grown on ``sample`` distinct rows, or all if fewer.
 
-    The rows come from one seeded sample of at most ``256 * trees`` rows, written once:
-    a full sample is dealt out among the trees, a smaller one is drawn from anew by
-    each tree. The forest that returns to the driver has at most ``511 * trees`` nodes
-    whatever the table size.
+    Every tree draws positions among all rows; rows are found by their position in key
+    order. Draws and nodes are at most ``trees * sample`` and twice that, at any size.
     """
     values = [F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)]
     narrow = df.select(F.col(key).alias("key"), *values)
-    pool = cut_lineage(first_by_hash(narrow, "key", seed, SAMPLE * trees))
-    if pool.count() == SAMPLE * trees:
-        turn = Window.orderBy(hash_key(seed, F.col("key")), "key")
-        place = F.row_number().over(turn) - 1
-        sample = pool.withColumns({"place": place}).withColumn("tree", F.col("place") % trees)
-    else:
-        dealt = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        turn = Window.partitionBy("tree").orderBy(hash_key(seed, F.col("tree"), F.col("key")), "key")
-        sample = dealt.withColumn("place", F.row_number().over(turn)).where(F.col("place") <= SAMPLE)
+    rows = narrow.count()
+    drawn = [
+        (tree, int(at) + 1, place)
+        for tree in range(trees)
+        for place, at in enumerate(
+            np.random.default_rng([seed, tree, 1]).choice(rows, min(sample, rows), replace=False)
+        )
+    ]
+    places = df.sparkSession.createDataFrame(drawn, "tree int, pos long, place int")
+    sampled = id_positions(narrow, "key", out="pos").join(F.broadcast(places), "pos")
     names = [f"x{i}" for i in range(len(cols))]
 
     def grow(rows: pd.DataFrame) -> pd.DataFrame:
@@ -95,7 +99,7 @@ def fit_forest(
         return out.assign(tree=tree, node=range(len(nodes)))
 
     schema = "feature int, cut double, left int, right int, value double, tree int, node int"
-    grown = sample.groupBy("tree").applyInPandas(grow, schema).toPandas()
+    grown = sampled.groupBy("tree").applyInPandas(grow, schema).toPandas()
     grown = grown.sort_values(["tree", "node"])
     return [
         g[["feature", "cut", "left", "right", "value"]].to_numpy()
@@ -107,7 +111,7 @@ def score_rows(
     df: DataFrame, cols: Sequence[str], forest: list[np.ndarray], sample_rows: int
 ) -> DataFrame:
     """Add ``iso_depth_score`` = 2^(-mean path / norm); near 1 is anomalous."""
-    norm = max(float(_path_norm(min(SAMPLE, sample_rows))), 1e-12)
+    norm = max(float(_path_norm(sample_rows)), 1e-12)
     shared = df.sparkSession.sparkContext.broadcast(forest)
 
     def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
@@ -141,6 +145,7 @@ def isolation_forest(
     trees: int = 100,
     contamination: float = 0.05,
     seed: int = 42,
+    sample: int = SAMPLE,
 ) -> DataFrame:
     """Complete rows with ``iso_score`` (negative is anomalous) and ``iso_label`` (-1, 1).
 
@@ -151,8 +156,8 @@ def isolation_forest(
     for c in cols:
         complete = complete.where(~is_missing(df, c))
     complete = complete.select(key, *cols)
-    forest = fit_forest(complete, cols, key, trees, seed)
-    scored = score_rows(complete, cols, forest, complete.limit(SAMPLE).count())
+    forest = fit_forest(complete, cols, key, trees, seed, sample)
+    scored = score_rows(complete, cols, forest, complete.limit(sample).count())
     kept = cut_lineage(scored.select(key, *cols, (-F.col("iso_depth_score")).alias("raw")))
     cut = exact_quantiles(kept, ["raw"], [contamination]).select("quantile").scalar()
     return kept.select(

@@ -283,27 +283,21 @@ def histogram(df: DataFrame, col: str, bins: int | str = "auto") -> DataFrame:
     )
 
 
-def density(df: DataFrame, col: str, grid: int = 200, bins: int = 1024) -> DataFrame:
+def density(df: DataFrame, col: str, grid: int = 200) -> DataFrame:
     """Gaussian density on ``grid`` points between the extremes, Scott's bandwidth.
 
-    The kernel is centred on the occupied ones of ``bins`` equal cells, so the sum has
-    at most ``grid * bins`` terms whatever the table size.
+    Every value counts. Equal values are summed first, and the terms of a grid point
+    within each task, so ``grid`` rows per task are shuffled.
     """
     s = _spread(df, col)
-    span = s["hi"] - s["lo"]
-    width = span / bins
-    cell = F.least(F.floor((F.col(col).cast("double") - s["lo"]) / width), F.lit(bins - 1))
-    cells = (
-        df.where(~is_missing(df, col)).groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
-    )
-    bandwidth = s["sd"] * F.pow(s["n"], F.lit(-0.2))
-    points = cells.select(
-        "n",
-        (s["lo"] + (F.col("cell") + 0.5) * width).alias("centre"),
-        s["lo"].alias("lo"), span.alias("span"), bandwidth.alias("h"), s["n"].alias("rows"),
+    counts = value_counts(df, [col]).withColumn("s", s)
+    bandwidth = F.col("s.sd") * F.pow(F.col("s.n"), F.lit(-0.2))
+    points = counts.select(
+        "n", "value", F.col("s.lo").alias("lo"), (F.col("s.hi") - F.col("s.lo")).alias("span"),
+        bandwidth.alias("h"), F.col("s.n").alias("rows"),
         F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("point"),
     ).withColumn("x", F.col("lo") + F.col("span") * F.col("point") / (grid - 1))
-    z = (F.col("x") - F.col("centre")) / F.col("h")
+    z = (F.col("x") - F.col("value")) / F.col("h")
     weight = F.col("n") * F.exp(-z * z / 2) / (F.col("rows") * F.col("h") * math.sqrt(2 * math.pi))
     return points.groupBy("point", "x").agg(F.sum(weight).alias("density"))
 

@@ -74,27 +74,24 @@ def prepare_tuning_set(
     return kept.withColumn(text, truncated_text(turn, max_tokens))
 
 
-def render_conversations(
+def conversation_turns(
     df: DataFrame,
     generation_prompt: bool = False,
     preamble: str = "",
     bos: str = "",
-    part_chars: int = 1_000_000,
     key: str = "conv_id",
 ) -> DataFrame:
-    """``(conv_id, part, text)``: the turns of a conversation in header style.
+    """``(conv_id, pos, piece)``: the turns of a conversation in header style, one per row.
 
-    A leading system turn fills the system header, which is empty otherwise. A
-    conversation is one text unless it is longer than about ``part_chars``; then it
-    comes in consecutive parts whose concatenation is the text, so that no row and no
-    group grows with the longest conversation.
+    A leading system turn fills the system header, which is empty otherwise. The pieces
+    of a conversation in order of ``pos`` make up its text; nothing is gathered here.
     """
     content = strip_ws(F.coalesce(F.col("text"), F.lit("")))
     placed = running_total(
         df.select(key, "turn", "role", content.alias("content")),
         [F.col("turn")],
         long_digits(F.col("turn")),
-        {"pos": F.lit(1), "upto": F.length("content") + 64},
+        {"pos": F.lit(1)},
         [key],
         {"pos": "turns"},
     )
@@ -112,13 +109,16 @@ def render_conversations(
         F.when(opens, "").otherwise(turn(F.coalesce("role", F.lit("")), F.col("content"))),
         F.when(last & F.lit(generation_prompt), f"{pr.HEADER_START}assistant{pr.HEADER_END}\n\n").otherwise(""),
     )
-    part = F.floor((F.col("upto") - F.length("content") - 64) / part_chars)
-    pieces = placed.select(key, part.alias("part"), "pos", piece.alias("piece"))
+    return placed.select(key, "pos", piece.alias("piece"))
+
+
+def render_conversations(df: DataFrame, *args, key: str = "conv_id", **options) -> DataFrame:
+    """``(conv_id, text)``: one text per conversation, so one cell must hold its longest;
+    ``conversation_turns`` has no such limit. Takes the options of that function."""
+    pieces = conversation_turns(df, *args, key=key, **options)
     ordered = F.array_sort(F.collect_list(F.struct("pos", "piece")))
-    grouped = pieces.groupBy(key, "part").agg(ordered.alias("pieces"))
-    return grouped.select(
-        key, "part", F.array_join(F.transform("pieces", lambda p: p["piece"]), "").alias("text")
-    )
+    grouped = pieces.groupBy(key).agg(ordered.alias("pieces"))
+    return grouped.select(key, F.array_join(F.transform("pieces", lambda p: p["piece"]), "").alias("text"))
 
 
 def extract_prompt(df: DataFrame, chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:

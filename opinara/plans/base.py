@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from opinara.functions import lexicons as lx
 from opinara.functions.labels import keyword_hint
 from opinara.functions.text import WHITESPACE, clean_review
-from opinara.operators.labeling import ARABIZI, ENGLISH, FRENCH, SourceSpec, label_reviews
+from opinara.operators.labeling import ARABIZI, ENGLISH, FRENCH, SourceSpec
 from opinara.sources.files import read_table, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -150,7 +150,7 @@ def source_tables(spark: SparkSession, directory: str) -> list[tuple[DataFrame,
     english = docs.where("lang = 'en'").select(
         F.col("doc_id").alias("id"), F.col("text").alias("review_text")
     )
-    third = docs.where("lang IN ('es', 'de')").select(
+    third = docs.where("coalesce(lang, '') NOT IN ('fr', 'en')").select(
         F.col("doc_id").alias("id"), F.col("text").alias("InputText")
     )
     context = rating.select(
@@ -162,24 +162,27 @@ def source_tables(spark: SparkSession, directory: str) -> list[tuple[DataFrame,
 
 
 def labelled_corpus(spark: SparkSession, directory: str) -> DataFrame:
-    """``(id, lang, text, criteria)`` of all documents, each by its source's lexicon."""
-    docs = documents(spark, directory).select(
-        F.col("doc_id").alias("id"), "lang", "text"
+    """``(id, lang, text, criteria)`` of all documents in one pass, each by its source's
+    lexicon; any other language, or none, takes the third role."""
+    docs = documents(spark, directory).select(F.col("doc_id").alias("id"), "lang", "text")
+    lang = F.col("lang")
+    french, english = lang.eqNullSafe(F.lit("fr")), lang.eqNullSafe(F.lit("en"))
+    cleaned = F.when(french, clean_review(F.col("text"), True)).otherwise(clean_review(F.col("text"), False))
+    hint = (
+        F.when(french, keyword_hint(F.col("c"), FRENCH.lexicon))
+        .when(english, keyword_hint(F.col("c"), ENGLISH.lexicon))
+        .otherwise(keyword_hint(F.col("c"), ARABIZI.lexicon))
     )
-    parts = []
-    for langs, spec in ((("fr",), FRENCH), (("en",), ENGLISH), (("es", "de"), ARABIZI)):
-        own = docs.where(F.col("lang").isin(*langs)).withColumnRenamed("text", spec.text)
-        labelled = label_reviews(own.drop("lang"), spec)
-        parts.append(labelled.select("id", F.col(spec.text).alias("text"), "criteria"))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    criteria = F.coalesce(hint, F.lit(lx.FALLBACK))
+    return docs.withColumn("c", cleaned).withColumn("criteria", criteria).drop("c")
 
 
 LABELLED_SQL = (
-    "SELECT doc_id AS id, text, coalesce(CASE lang WHEN 'fr' THEN "
+    "SELECT doc_id AS id, text, coalesce(CASE coalesce(lang, '') WHEN 'fr' THEN "
     f"{sql_first(sql_clean('text', True), lx.FRENCH_LEXICON)} WHEN 'en' THEN "
     f"{sql_first(sql_clean('text', False), lx.ENGLISH_LEXICON)} ELSE "
     f"{sql_first(sql_clean('text', False), lx.ARABIZI_LEXICON)} END, 'Global_experience') AS criteria "
-    "FROM documents WHERE lang IN ('fr', 'en', 'es', 'de')"
+    "FROM documents"
 )
 
 # Two label columns to compare: the label of the source and another lexicon's guess.

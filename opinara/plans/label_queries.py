@@ -230,11 +230,5 @@ def l15(spark, d):
     f"SELECT d.lang, c.criteria, count(*) AS reviews FROM ({LABELLED_SQL}) c JOIN documents d ON d.doc_id = c.id GROUP BY ALL",
 )
 def label_counts(spark, d):
-    docs = documents(spark, d)
-    parts = []
-    for langs, spec in ((("fr",), lab.FRENCH), (("en",), lab.ENGLISH), (("es", "de"), lab.ARABIZI)):
-        own = docs.where(F.col("lang").isin(*langs)).select("lang", F.col("text").alias(spec.text))
-        hinted = lab.with_hints(own, spec)
-        parts.append(hinted.select("lang", F.coalesce("hint", F.lit(spec.fallback)).alias("criteria")))
-    union = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return union.groupBy("lang", "criteria").agg(F.count(F.lit(1)).alias("reviews"))
+    corpus = labelled_corpus(spark, d)
+    return corpus.groupBy("lang", "criteria").agg(F.count(F.lit(1)).alias("reviews"))

@@ -111,7 +111,7 @@ def c5(spark, d):
 def c6(spark, d):
     corpus = split_corpus(spark, d)
     evals = {s: corpus.where(F.col("split") == s) for s in ("val", "test")}
-    return md.train_all(corpus.where("split = 'train'"), evals, "id", lx.EVALUATION_TAXONOMY, ["logreg", "nb"])
+    return md.train_all(corpus.where("split = 'train'"), evals, "id", lx.EVALUATION_TAXONOMY)
 
 
 @query("c7_density_ratio")

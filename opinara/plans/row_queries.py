@@ -10,7 +10,7 @@ from opinara.operators import filters as fl
 from opinara.operators import metrics as mt
 from opinara.operators import profiling as pf
 from opinara.operators import sampling as sm
-from opinara.operators.labeling import ARABIZI, ENGLISH, FRENCH, combine_sources, label_reviews
+from opinara.operators.labeling import combine_sources
 from opinara.plans.base import (
     CELL,
     LABELLED_SQL,
@@ -285,7 +285,7 @@ def r8(spark, d):
 
 @query(
     "u1_union_sources",
-    "SELECT doc_id AS id, text FROM documents WHERE lang IN ('fr', 'en', 'es', 'de')",
+    "SELECT doc_id AS id, text FROM documents",
 )
 def u1(spark, d):
     parts = [df.select("id", F.col(spec.text).alias("text")) for df, spec in source_tables(spark, d)]
@@ -305,11 +305,4 @@ def u2(spark, d):
     f"SELECT id, text, criteria, row_number() OVER (ORDER BY {sql_key(42, 'id')}, id) AS shuffle_pos FROM ({LABELLED_SQL})",
 )
 def j1(spark, d):
-    docs = documents(spark, d)
-    sources = []
-    for langs, spec in ((("fr",), FRENCH), (("en",), ENGLISH), (("es", "de"), ARABIZI)):
-        own = docs.where(F.col("lang").isin(*langs)).select(
-            F.col("doc_id").alias("id"), F.col("text").alias(spec.text)
-        )
-        sources.append((label_reviews(own, spec), spec.text))
-    return combine_sources(sources)
+    return combine_sources([(labelled_corpus(spark, d), "text")])

@@ -69,7 +69,7 @@ def _header(role: str, content: str) -> str:
       (SELECT *, min(turn) OVER (PARTITION BY conv_id) AS first_turn FROM m) GROUP BY 1),
     b AS (SELECT conv_id, string_agg({_header('role', 'content')}, '' ORDER BY turn) AS body FROM
       (SELECT *, min(turn) OVER (PARTITION BY conv_id) AS first_turn FROM m) WHERE NOT (role = 'system' AND turn = first_turn) GROUP BY 1)
-    SELECT conv_id, 0::BIGINT AS part, concat({_header("'system'", "coalesce(system, '')")}, coalesce(body, ''), '<|start_header_id|>assistant<|end_header_id|>', chr(10), chr(10)) AS text
+    SELECT conv_id, concat({_header("'system'", "coalesce(system, '')")}, coalesce(body, ''), '<|start_header_id|>assistant<|end_header_id|>', chr(10), chr(10)) AS text
     FROM s LEFT JOIN b USING (conv_id)""",
 )
 def d3(spark, d):

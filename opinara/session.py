@@ -8,10 +8,25 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(app: str = "opinara", cores: str = "8", memory: str = "20g") -> SparkSession:
-    """A session for one machine; on a cluster pass your own session to the operators."""
+def local_session(
+    app: str = "opinara",
+    cores: str = "8",
+    memory: str = "20g",
+    scratch: str | None = None,
+    spread: bool = False,
+) -> SparkSession:
+    """A session for one machine; on a cluster pass your own session to the operators.
+
+    ``scratch`` is its folder for intermediate tables; ``spread`` deals the rows of small
+    input files to all cores.
+    """
+    builder = SparkSession.builder
+    if scratch is not None:
+        builder = builder.config("spark.checkpoint.dir", scratch)
+    if spread:
+        builder = builder.config("opinara.spread", cores)
     spark = (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.adaptive.enabled", "true")
@@ -19,10 +34,10 @@ def local_session(app: str = "opinara", cores: str = "8", memory: str = "20g") -
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
-    spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 

@@ -46,20 +46,16 @@ def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+SPREAD = "opinara.spread"  # session setting: parts that small input files are dealt to
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores on a table too small to fill a quarter of them.
+    """Deal rows to as many parts as the session asks for; without the setting, no change.
 
-    A scan has no more tasks with work than the files have row groups, so a table of one
-    small file would run all its text functions in one task. Larger inputs are left as
-    they are: they are parallel without a shuffle.
+    For tables of a single small file, whose scan has one task. Sizes are not looked at.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if 4 * size > cores * split or 4 * len(df.inputFiles()) > cores:
-        return df
-    return df.repartition(cores, key)
+    parts = df.sparkSession.conf.get(SPREAD, None)
+    return df if parts is None else df.repartition(int(parts), key)
 
 
 def write_table(

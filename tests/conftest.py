@@ -9,10 +9,11 @@ DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from opinara.session import local_session
 
-    session = local_session("tests", cores="8", memory="12g")
+    scratch = str(tmp_path_factory.mktemp("scratch"))
+    session = local_session("tests", cores="8", memory="12g", scratch=scratch)
     yield session
     session.stop()
 

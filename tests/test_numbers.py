@@ -1,5 +1,7 @@
 import numpy as np
 import pandas as pd
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,7 +191,7 @@ def test_vector_tfidf_equals_relational_tfidf(spark, data):
                 assert w == pytest.approx(rel[r["doc_id"], words[i]], rel=0.05)
 
 
-def test_most_frequent_is_the_same_with_and_without_the_first_pass(spark):
+def test_most_frequent_against_a_sort(spark):
     from opinara.operators import features as ft
 
     counts = spark.range(1, 3000).select(
@@ -198,12 +200,51 @@ def test_most_frequent_is_the_same_with_and_without_the_first_pass(spark):
         F.lit(1).alias("df"),
     )
     for k in (1, 7, 500, 5000):
-        plain = ft.most_frequent(counts, "total", "term", k)
-        cut = ft.most_frequent(counts, "total", "term", k, merge_rows=0)
-        assert plain.collect() == cut.collect()
-
-
-def test_full_sample_is_dealt_out(spark):
-    df = spark.range(2000).select("id", F.rand(1).alias("x"), F.rand(2).alias("y"))
-    forest = ol.fit_forest(df, ["x", "y"], "id", trees=4)
-    assert len(forest) == 4 and all(len(t) > 100 for t in forest)
+        want = counts.orderBy(F.desc("total"), "term").limit(k).collect()
+        assert sorted(ft.most_frequent(counts, "total", "term", k).collect()) == sorted(want)
+
+
+def largest_blocks(df, digits):
+    """Most rows below one prefix of digits, and most next digits below it, per level."""
+    names = [f"d{i}" for i in range(len(digits))]
+    keyed = df.select(*[d.alias(n) for d, n in zip(digits, names)])
+    out = []
+    for depth in range(len(names)):
+        wide = keyed.select(*names[: depth + 1]).distinct()
+        below = wide.groupBy(*names[:depth]).count() if depth else wide.agg(F.count(F.lit(1)).alias("count"))
+        out.append(below.agg(F.max("count")).first()[0])
+    out.append(keyed.groupBy(*names).count().agg(F.max("count")).first()[0])
+    return out
+
+
+def test_no_window_grows_with_sparse_ids_or_narrow_numbers(spark):
+    from opinara.operators import ordering as od
+
+    ids = spark.range(400_000).select(F.xxhash64("id").alias("x"))
+    assert max(largest_blocks(ids, od.long_digits(F.col("x")))) <= 65_536
+    dense = spark.range(400_000).select((F.col("id") - 200_000).alias("x"))
+    assert max(largest_blocks(dense, od.long_digits(F.col("x")))) <= 65_536
+    day = spark.range(400_000).select((F.col("id") * 216 + 1_700_000_000_000).cast("double").alias("x"))
+    assert max(largest_blocks(day, od.double_digits(F.col("x")))) <= 65_536
+    keys = spark.range(400_000).select(od.hash_key(1, F.col("id")).alias("x"))
+    assert max(largest_blocks(keys, od.hash_digits(F.col("x")))) <= 65_536
+
+
+def test_digits_of_numbers_follow_their_order(spark):
+    from opinara.operators import ordering as od
+
+    values = [0.0, -0.0, 5e-324, -5e-324, 1.0, 0.9999999999999999, 1.0000000000000002, 2.0, 4.0, 3.9999999999999996,
+              -1.0, -2.0, -1.9999999999999998, 1e308, -1e308, 1e-308, float("inf"), float("-inf"), 1e12 + 1, 1e12, 0.1, 0.3]
+    values += [float(2**k) for k in range(-60, 60)] + [math.nextafter(2.0**k, 0) for k in range(-60, 60)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    rows = df.select("x", *[d.alias(f"d{i}") for i, d in enumerate(od.double_digits(F.col("x")))]).collect()
+    rows.sort(key=lambda r: r["x"])
+    digits = [tuple(r)[1:] for r in rows]
+    assert digits == sorted(digits)
+
+
+def test_trees_take_distinct_rows_at_any_size(spark):
+    for n, most in ((100, 100), (2000, 256)):
+        df = spark.range(n).select((F.col("id") * 1_000_003).alias("id"), F.rand(1).alias("x"), F.rand(2).alias("y"))
+        forest = ol.fit_forest(df, ["x", "y"], "id", trees=4)
+        assert len(forest) == 4 and all(50 < len(t) < 2 * most for t in forest)

@@ -43,15 +43,15 @@ def test_null_entries_leave_maps_and_arrays(spark):
     assert row[0] == [1, 2] and row[1] == {"x": 1}
 
 
-def test_conversation_parts_join_to_the_whole(spark):
+def test_conversation_turns_join_to_the_whole(spark):
     rows = [(1, t, "user" if t % 2 else "assistant", f" word{t} " * 20) for t in range(1, 60)]
     rows += [(2, 0, "system", " be kind "), (2, 1, "user", "hi")]
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
     whole = {r["conv_id"]: r["text"] for r in tn.render_conversations(df).collect()}
-    parts = tn.render_conversations(df, part_chars=500).orderBy("conv_id", "part").collect()
-    assert len(parts) > 10
+    turns = tn.conversation_turns(df).orderBy("conv_id", "pos").collect()
+    assert len(turns) == len(rows)
     for conv in (1, 2):
-        assert "".join(r["text"] for r in parts if r["conv_id"] == conv) == whole[conv]
+        assert "".join(r["piece"] for r in turns if r["conv_id"] == conv) == whole[conv]
     mark = "<|start_header_id|>{}<|end_header_id|>\n\n{}<|eot_id|>"
     assert whole[2] == mark.format("system", "be kind") + mark.format("user", "hi")
     assert whole[1].startswith(mark.format("system", ""))
