@@ -37,6 +37,22 @@ ANNOTATION = (
 HINT = "The review uses words of the criterion '{hint}'; prefer it over '{fallback}'.\n"
 
 
+SCORED_ANNOTATION = (
+    "Label one customer review with its most specific criterion and a score from 1 to 5.\n"
+    "Review: {text}\n"
+    "{hint}"
+    "Criteria: {taxonomy}\n"
+    "Reply on one line: criterion | score."
+)
+EXPANSION = (
+    "Write one new customer review.\n"
+    "Criterion: {label}\n"
+    "In the style of: {exemplar}\n"
+    "Language: {language}\n"
+    "Do not name the criterion. Reply with the review only."
+)
+
+
 def chatml(system: str, user: Column, answer: Column | None = None) -> Column:
     """System, user and assistant turns; without an answer the prompt stays open."""
     head = F.concat(
@@ -80,3 +96,12 @@ def annotation_prompt(
         taxonomy=F.lit(", ".join(taxonomy)),
         fallback=F.lit(fallback),
     )
+
+def scored_prompt(text: Column, hint: Column, taxonomy: Sequence[str], fallback: str) -> Column:
+    """Asks for ``criterion | score``."""
+    listed = F.lit(", ".join(taxonomy))
+    return render(SCORED_ANNOTATION, text=text, hint=hint_sentence(hint, fallback), taxonomy=listed)
+
+
+def expansion_prompt(label: Column, exemplar: Column, language: Column) -> Column:
+    return render(EXPANSION, label=label, exemplar=exemplar, language=language)

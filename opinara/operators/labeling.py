@@ -11,7 +11,12 @@ from pyspark.sql import functions as F
 
 from opinara.functions import labels as lb
 from opinara.functions import lexicons as lx
-from opinara.functions.prompts import annotation_prompt, context_block
+from opinara.functions.prompts import (
+    annotation_prompt,
+    context_block,
+    expansion_prompt,
+    scored_prompt,
+)
 from opinara.functions.text import clean_review, nfc, strip_ws
 from opinara.operators.filters import (
     dedupe_first,
@@ -20,7 +25,7 @@ from opinara.operators.filters import (
     keep_labels,
     min_length,
 )
-from opinara.operators.sampling import shuffle_rows
+from opinara.operators.sampling import expansion_plan, shuffle_rows
 from opinara.sources.schema import harmonise, keep_existing, require_columns
 
 
@@ -138,6 +143,55 @@ def label_scored(df: DataFrame, answer: str = "answer") -> DataFrame:
     return df.withColumns({"Critere": label, "Score": score}).drop(answer)
 
 
+def label_scored_reviews(
+    df: DataFrame,
+    labeler: Labeler,
+    text: str = "text",
+    lexicon: Mapping[str, Sequence[str]] = lx.OLD_FRENCH_LEXICON,
+    taxonomy: Sequence[str] = lx.STRICT_TAXONOMY_FR,
+) -> DataFrame:
+    """``Critere`` and ``Score`` of every review, asked for together.
+
+    The hint is looked up in the lower-cased raw text. Columns of these names are
+    replaced; an answer without a ``|`` line takes the fallback.
+    """
+    raw = F.coalesce(F.col(text), F.lit(""))
+    hinted = df.drop("Critere", "Score").withColumn("__hint", lb.keyword_hint(F.lower(raw), lexicon))
+    asked = hinted.withColumn("__prompt", scored_prompt(raw, F.col("__hint"), taxonomy, lx.FALLBACK_FR))
+    answered = ask(asked, labeler, "__prompt", "__answer")
+    return label_scored(answered, "__answer").drop("__hint", "__prompt")
+
+
+def expand_corpus(
+    df: DataFrame,
+    generator: Labeler,
+    target: int,
+    languages: Sequence[str],
+    seed: int,
+    label: str = "criteria",
+    text: str = "text",
+    key: str = "id",
+    least: int = 5,
+) -> DataFrame:
+    """The corpus with generated reviews, ``(key, text, label, shuffle_pos)``.
+
+    Every label gets the same number of prompts, each with an exemplar and a language.
+    Answers lose their double quotes; those of at most ``least`` characters, and rows
+    that failed, are left out. A new row's key is its label and number.
+    """
+    plan = expansion_plan(df, label, text, key, target, list(languages), seed)
+    prompt = expansion_prompt(F.coalesce(F.col(label), F.lit("")), F.col("exemplar"), F.col("language"))
+    asked = ask(plan.withColumn("__prompt", prompt), generator, "__prompt", "__answer")
+    written = F.replace(strip_ws(F.col("__answer")), F.lit('"'), F.lit(""))
+    fresh = asked.select(
+        F.concat_ws("#", F.col(label), F.col("row").cast("string")).alias(key),
+        written.alias(text),
+        F.col(label),
+    ).where(F.length(text) > least)
+    known = df.select(F.col(key).cast("string").alias(key), text, label)
+    return shuffle_rows(known.unionByName(fresh), seed, key)
+
+
 def repair_labels(df: DataFrame, text: str = "text", label: str = "Critere") -> DataFrame:
     """Rows with a text whose label could be repaired."""
     repaired = drop_null(df, [text]).withColumn(label, lb.repair_label(F.col(label)))

@@ -186,7 +186,9 @@ def expansion_plan(
     plan = (
         sizes.withColumn("__k", F.floor(F.lit(target) / labels))
         .where(F.col("__k") >= 1)
-        .withColumn("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__k"))))
+        # blocks of rows, so that no array grows with the target
+        .withColumn("__b", F.explode(F.expr("sequence(0L, (__k - 1) div 1000)")))
+        .withColumn("row", F.explode(F.expr("sequence(__b * 1000 + 1, least(__k, __b * 1000 + 1000))")))
         .withColumns(
             {
                 "__pos": _hash_int(f"{seed}e", F.col(label), F.col("row"))

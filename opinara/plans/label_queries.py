@@ -26,6 +26,7 @@ from opinara.plans.base import (
     sql_clean,
     sql_first,
     sql_int,
+    sql_key,
     sql_strip,
     sql_title,
     sql_words,
@@ -225,6 +226,59 @@ def l15(spark, d):
     )
 
 
+def scored_name(prompts: pd.Series) -> pd.Series:
+    """Stand-in labeler: a criterion and a score by prompt length, now and then none."""
+    names = lx.STRICT_TAXONOMY_FR
+    return prompts.map(
+        lambda p: "cannot say" if len(p) % 7 == 0 else f"so:\n {names[len(p) % len(names)]} | {len(p) % 5 + 1} "
+    )
+
+
+OLD_HINT = (
+    "CASE WHEN hint IS NULL THEN '' ELSE concat('The review uses words of the criterion ''', hint, "
+    "'''; prefer it over ''Expérience globale''.', chr(10)) END"
+)
+STRICT = f"[{', '.join(quoted(x) for x in lx.STRICT_TAXONOMY_FR)}]"
+
+
+@query(
+    "l10_label_scored",
+    f"""WITH h AS (SELECT doc_id, coalesce(text, '') AS text, {sql_first("lower(coalesce(text, ''))", lx.OLD_FRENCH_LEXICON)} AS hint FROM documents),
+    p AS (SELECT doc_id, length(concat('Label one customer review with its most specific criterion and a score from 1 to 5.', chr(10),
+      'Review: ', text, chr(10), {OLD_HINT}, 'Criteria: ', {quoted(", ".join(lx.STRICT_TAXONOMY_FR))}, chr(10),
+      'Reply on one line: criterion | score.')) AS n FROM h)
+    SELECT doc_id, CASE WHEN n % 7 = 0 THEN 'Expérience globale' ELSE {STRICT}[n % {len(lx.STRICT_TAXONOMY_FR)} + 1] END AS Critere,
+      CASE WHEN n % 7 = 0 THEN '3' ELSE (n % 5 + 1)::VARCHAR END AS Score FROM p""",
+)
+def l10_scored(spark, d):
+    labelled = lab.label_scored_reviews(documents(spark, d).select("doc_id", "text"), scored_name)
+    return labelled.select("doc_id", "Critere", "Score")
+
+
+def short_review(prompts: pd.Series) -> pd.Series:
+    """Stand-in generator: quotes a text by prompt length, now and then too short a one."""
+    return prompts.map(lambda p: '"no"' if len(p) % 5 == 0 else f'"review" of {len(p)} ')
+
+
+@query(
+    "l15_expand_corpus",
+    f"""WITH c AS ({LABELLED_SQL}), s AS (SELECT criteria, count(text) AS n FROM c GROUP BY 1),
+    k AS (SELECT criteria, n, 3000 // (SELECT count(*) FROM s) AS k FROM s),
+    g AS (SELECT criteria, n, unnest(range(1, k + 1)) AS row FROM k),
+    p AS (SELECT *, {sql_int('7e', 'criteria', 'row')} % n + 1 AS pos, {sql_int('7l', 'criteria', 'row')} % {len(lx.LANGUAGES)} AS lang FROM g),
+    e AS (SELECT criteria, text, row_number() OVER (PARTITION BY criteria ORDER BY id) AS pos FROM c),
+    q AS (SELECT p.criteria, p.row, length(concat('Write one new customer review.', chr(10), 'Criterion: ', p.criteria, chr(10),
+      'In the style of: ', e.text, chr(10), 'Language: ', [{", ".join(quoted(x) for x in lx.LANGUAGES)}][lang + 1], chr(10),
+      'Do not name the criterion. Reply with the review only.')) AS len FROM p JOIN e USING (criteria, pos)),
+    u AS (SELECT id::VARCHAR AS id, text, criteria FROM c UNION ALL
+      SELECT concat(criteria, '#', row), concat('review of ', len), criteria FROM q WHERE len % 5 <> 0)
+    SELECT id, text, criteria, row_number() OVER (ORDER BY {sql_key(7, 'id')}, id) AS shuffle_pos FROM u""",
+)
+def l15_expand(spark, d):
+    corpus = labelled_corpus(spark, d).drop("lang")
+    return lab.expand_corpus(corpus, short_review, 3000, lx.LANGUAGES, 7)
+
+
 @query(
     "label_counts_by_language",
     f"SELECT d.lang, c.criteria, count(*) AS reviews FROM ({LABELLED_SQL}) c JOIN documents d ON d.doc_id = c.id GROUP BY ALL",
