@@ -20,14 +20,14 @@ def keep_end(tokens: Column, n: int) -> Column:
     return F.when(size > n, F.slice(tokens, -n, n)).otherwise(tokens)
 
 
-def ensure_eos(tokens: Column, eos: str) -> Column:
+def ensure_eos(tokens: Column, eos: Column | str) -> Column:
     last = F.try_element_at(tokens, F.lit(-1))
-    return F.when(last.eqNullSafe(F.lit(eos)), tokens).otherwise(F.array_append(tokens, eos))
+    return F.when(last.eqNullSafe(F.lit(eos)), tokens).otherwise(F.array_append(tokens, F.lit(eos)))
 
 
-def ensure_bos(tokens: Column, bos: str) -> Column:
+def ensure_bos(tokens: Column, bos: Column | str) -> Column:
     first = F.try_element_at(tokens, F.lit(1))
-    return F.when(first.eqNullSafe(F.lit(bos)), tokens).otherwise(F.array_prepend(tokens, bos))
+    return F.when(first.eqNullSafe(F.lit(bos)), tokens).otherwise(F.array_prepend(tokens, F.lit(bos)))
 
 
 def ensure_text_eos(text: Column, eos: str) -> Column:
@@ -53,7 +53,7 @@ def completion_mask(n_prompt: Column, n_all: Column) -> Column:
     return F.concat(repeat(F.lit(0), zeros), repeat(F.lit(1), n_all - zeros))
 
 
-def masked_labels(prompt: Column, answer: Column, pad: str = "-100") -> Column:
+def masked_labels(prompt: Column, answer: Column, pad: Column | str = "-100") -> Column:
     """Answer tokens behind one ``pad`` per prompt token."""
     return F.concat(repeat(F.lit(pad), F.size(prompt)), answer)
 

@@ -21,17 +21,57 @@ from opinara.operators.ordering import id_positions, long_digits, running_total
 
 Tokenizer = Callable[[Column], Column]
 
-PAD = "-100"
+PAD = -100  # in the type of the tokens beside it
 
 
-def user_tokenizer(encode: Callable[[str], Sequence[int]]) -> Tokenizer:
-    """A tokenizer callable as a column function, one Arrow batch at a time."""
+class UserTokenizer:
+    """A tokenizer callable as a column function, one Arrow batch at a time.
 
-    @F.pandas_udf("array<bigint>")
-    def ids(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: list(encode(t)), na_action="ignore")
+    ``encode`` takes one text, or with ``batched`` a list of them. ``each`` tokenizes
+    every text of an array column in the same way.
+    """
+
+    def __init__(self, encode: Callable, batched: bool = False):
+        def many(texts: list[str]) -> list[list[int]]:
+            made = encode(texts) if batched else map(encode, texts)
+            return [[int(i) for i in ids] for ids in made]
+
+        def ids(texts: pd.Series) -> pd.Series:
+            known = texts.notna()
+            out = pd.Series([None] * len(texts), index=texts.index, dtype="object")
+            out[known] = pd.Series(many(list(texts[known])), index=texts.index[known], dtype="object")
+            return out
+
+        def lists(arrays: pd.Series) -> pd.Series:
+            flat = [t for a in arrays if a is not None for t in a]
+            coded = iter(many(["" if t is None else t for t in flat]))
+            return pd.Series([None if a is None else [next(coded) for _ in a] for a in arrays], index=arrays.index)
+
+        self.ids = F.pandas_udf(ids, "array<bigint>")
+        self.lists = F.pandas_udf(lists, "array<array<bigint>>")
+
+    def __call__(self, texts: Column) -> Column:
+        return self.ids(texts)
+
+    def each(self, arrays: Column) -> Column:
+        return self.lists(arrays)
 
-    return ids
+
+def user_tokenizer(encode: Callable, batched: bool = False) -> UserTokenizer:
+    """A tokenizer callable as a column function."""
+    return UserTokenizer(encode, batched)
+
+
+def each_text(tokenizer: Tokenizer, arrays: Column) -> Column:
+    """Tokens of every text of an array."""
+    each = getattr(tokenizer, "each", None)
+    return each(arrays) if each else F.transform(arrays, tokenizer)
+
+
+def as_token(df: DataFrame, tokens: str, value: str | int) -> Column:
+    """A mark in the type of the elements of a token column, nested or not."""
+    kind = df.schema[tokens].dataType.elementType
+    return F.lit(value).cast(getattr(kind, "elementType", kind))
 
 
 def format_rows(df: DataFrame, formatter: Callable[[pd.Series], pd.Series], col: str, out: str = "text") -> DataFrame:
@@ -242,20 +282,22 @@ def truncate_pair(
     return df.drop("__longer")
 
 
-def sequence_labels(df: DataFrame, prompt: str, answer: str, side: str, pad: str = PAD) -> DataFrame:
+def sequence_labels(
+    df: DataFrame, prompt: str, answer: str, side: str, pad: str | int = PAD
+) -> DataFrame:
     """``<side>_input_ids`` and ``<side>_labels``, padded over the prompt."""
     return df.withColumns(
         {
             f"{side}_input_ids": F.concat(F.col(prompt), F.col(answer)),
-            f"{side}_labels": tk.masked_labels(F.col(prompt), F.col(answer), pad),
+            f"{side}_labels": tk.masked_labels(F.col(prompt), F.col(answer), as_token(df, answer, pad)),
         }
     )
 
 
 def pair_sequences(
     df: DataFrame,
-    bos: str | None = None,
-    eos: str | None = None,
+    bos: str | int | None = None,
+    eos: str | int | None = None,
     tokenizer: Tokenizer = split_words,
     **limits,
 ) -> DataFrame:
@@ -264,9 +306,9 @@ def pair_sequences(
     prompts = ("chosen_prompt", "rejected_prompt", "prompt_tokens")
     answers = ("chosen_answer", "rejected_answer")
     if bos is not None:
-        split = split.withColumns({p: tk.ensure_bos(F.col(p), bos) for p in prompts})
+        split = split.withColumns({p: tk.ensure_bos(F.col(p), as_token(split, p, bos)) for p in prompts})
     if eos is not None:
-        split = split.withColumns({a: tk.ensure_eos(F.col(a), eos) for a in answers})
+        split = split.withColumns({a: tk.ensure_eos(F.col(a), as_token(split, a, eos)) for a in answers})
     cut = truncate_pair(split, prompts, answers, **limits)
     for side in ("chosen", "rejected"):
         cut = sequence_labels(cut, f"{side}_prompt", f"{side}_answer", side)
@@ -275,13 +317,13 @@ def pair_sequences(
 
 def step_labels(
     df: DataFrame,
-    sep: str,
+    sep: str | int,
     max_length: int | None = 1024,
     max_prompt: int | None = 512,
     max_completion: int | None = None,
     last_only: bool = False,
-    bos: str | None = None,
-    pad: str = PAD,
+    bos: str | int | None = None,
+    pad: str | int = PAD,
     tokenizer: Tokenizer = split_words,
 ) -> DataFrame:
     """``input_ids`` and ``labels`` of stepwise records.
@@ -290,24 +332,26 @@ def step_labels(
     positions are padded. With ``last_only`` just the last step keeps its label.
     """
     count = F.least(F.size("completions"), F.size("labels"))
+    df = df.withColumn("__words", each_text(tokenizer, F.col("completions")))
+    fill, end = as_token(df, "__words", pad), as_token(df, "__words", sep)
+    kind = df.schema["__words"].dataType.elementType.elementType
     shown = F.transform(
         F.slice(F.col("labels"), F.lit(1), count),
         lambda v, i: F.when(
-            F.lit(not last_only) | (i == F.size("labels") - 1), v.cast("int").cast("string")
-        ).otherwise(pad),
-    )
-    steps = F.transform(
-        F.col("completions"), lambda s: F.array_append(tokenizer(s), sep)
+            F.lit(not last_only) | (i == F.size("labels") - 1), v.cast("int").cast(kind)
+        ).otherwise(fill),
     )
+    steps = F.transform("__words", lambda s: F.array_append(s, end))
     df = df.withColumns({"__steps": steps, "__shown": shown})
     marks = F.zip_with(
         F.slice(F.col("__steps"), F.lit(1), count),
         F.col("__shown"),
-        lambda s, v: F.concat(tk.repeat(F.lit(pad), F.size(s) - 1), F.array(v)),
+        lambda s, v: F.concat(tk.repeat(fill, F.size(s) - 1), F.array(v)),
     )
-    prompt = tokenizer(F.col("prompt"))
+    df = df.withColumn("__p", tokenizer(F.col("prompt")))
+    prompt = F.col("__p")
     if bos is not None:
-        prompt = F.array_prepend(prompt, bos)
+        prompt = F.array_prepend(prompt, as_token(df, "__p", bos))
     if max_prompt is not None:
         prompt = tk.keep_end(prompt, max_prompt)
     ids, labels = F.flatten("__steps"), F.flatten(marks)
@@ -315,11 +359,11 @@ def step_labels(
         ids, labels = (tk.truncate_tokens(x, max_completion) for x in (ids, labels))
     df = df.withColumns({"__p": prompt, "__c": ids, "__m": labels})
     ids = F.concat("__p", "__c")
-    labels = F.concat(tk.repeat(F.lit(pad), F.size("__p")), F.col("__m"))
+    labels = F.concat(tk.repeat(fill, F.size("__p")), F.col("__m"))
     if max_length is not None:
         ids, labels = (tk.truncate_tokens(x, max_length) for x in (ids, labels))
     return df.withColumns({"input_ids": ids, "step_labels": labels}).drop(
-        "__steps", "__shown", "__p", "__c", "__m"
+        "__words", "__steps", "__shown", "__p", "__c", "__m"
     )
 
 

@@ -333,6 +333,52 @@ def x3(spark, d):
     return documents(spark, d).select("doc_id", F.array_join(ids.cast("array<string>"), " ").alias("ids"))
 
 
+def sql_lengths(c: str) -> str:
+    """Ids of the stand-in tokenizer, as texts."""
+    return f"[length(w)::VARCHAR FOR w IN {sql_words(c)}]"
+
+
+def many_letters(texts: list[str]) -> list[list[int]]:
+    """The stand-in tokenizer for a batch of texts."""
+    return [letters(t) for t in texts]
+
+
+# The same plans on ids: 1 opens, 2 closes, 3 ends a step.
+ID_BOUNDARY = BOUNDARY
+for _part in ("prompt", "concat(prompt, chosen)", "concat(prompt, rejected)"):
+    ID_BOUNDARY = ID_BOUNDARY.replace(sql_words(_part), sql_lengths(_part))
+ID_MARKED = MARKED.replace(f"'{BOS}'", "'1'").replace(f"'{EOS}'", "'2'")
+
+
+@query(
+    "x3_pair_sequences",
+    f"""WITH {ID_BOUNDARY}, {ID_MARKED}, {_cut('keep_end').format(source='m')}
+    SELECT id, array_to_string(list_concat(pc, ac), ' ') AS chosen_input_ids, array_to_string(list_concat(['-100' FOR x IN pc], ac), ' ') AS chosen_labels,
+      array_to_string(list_concat(pr, ar), ' ') AS rejected_input_ids, array_to_string(list_concat(['-100' FOR x IN pr], ar), ' ') AS rejected_labels FROM t""",
+)
+def x3_pairs(spark, d):
+    cut = tn.pair_sequences(pairs(spark, d), 1, 2, tn.user_tokenizer(letters), max_length=200, max_prompt=100)
+    cols = [f"{s}_{k}" for s in ("chosen", "rejected") for k in ("input_ids", "labels")]
+    return cut.select("id", *[F.array_join(F.col(c).cast("array<string>"), " ").alias(c) for c in cols])
+
+
+@query(
+    "x3_step_labels",
+    _sql_steps("true")
+    .replace(sql_words("prompt"), sql_lengths("prompt"))
+    .replace(sql_words("s"), sql_lengths("s"))
+    .replace(f"'{BOS}'", "'1'")
+    .replace("'<sep>'", "'3'"),
+)
+def x3_steps(spark, d):
+    out = tn.step_labels(
+        steps(spark, d), 3, max_length=200, max_prompt=50, max_completion=180, bos=1,
+        tokenizer=tn.user_tokenizer(many_letters, batched=True),
+    )
+    cols = ("input_ids", "step_labels")
+    return out.select("id", *[F.array_join(F.col(c).cast("array<string>"), " ").alias(c) for c in cols])
+
+
 def by_line(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: [f"Line: {x}" for x in t.split("\n")])
 
