@@ -24,12 +24,12 @@ def _sql_missing(name: str, cols) -> str:
     )
 
 
-JOINED = "(SELECT d.doc_id, d.text, d.lang, d.n_chars, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id))"
-JOINED_COLS = ["doc_id", "text", "lang", "n_chars", "quality", "toxic"]
+JOINED = "(SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id))"
+JOINED_COLS = ["doc_id", "text", "lang", "source", "n_chars", "quality", "toxic"]
 
 
 def joined(spark, d):
-    docs = documents(spark, d).select("doc_id", "text", "lang", "n_chars")
+    docs = documents(spark, d).select("doc_id", "text", "lang", "source", "n_chars")
     return docs.join(table(spark, d, "labels"), "doc_id", "left").select(*JOINED_COLS)
 
 
@@ -81,7 +81,7 @@ def _rounded(profiled):
     return profiled.withColumns(rounded | {"mean": F.round("mean", 7)})
 
 
-TYPES = {"doc_id": "bigint", "text": "string", "lang": "string", "n_chars": "bigint", "quality": "int", "toxic": "int"}
+TYPES = {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint", "quality": "int", "toxic": "int"}
 
 
 @query(
@@ -92,12 +92,14 @@ def a4(spark, d):
     return _rounded(pf.profile(joined(spark, d)))
 
 
-LINE_PROFILE = {**LINE_TYPES, "l_returnflag": "string", "l_linestatus": "string"}
+LINE_KEYS = {"l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint", "l_linenumber": "int"}
+LINE_WORDS = {"l_returnflag": "string", "l_linestatus": "string", "l_shipdate": "timestamp_ntz"}
+LINE_PROFILE = LINE_KEYS | LINE_TYPES | LINE_WORDS
 
 
-@query("a4_profile_lineitem", _sql_profile("lineitem", LINE_PROFILE, set(LINE_COLS)))
+@query("a4_profile_lineitem", _sql_profile("lineitem", LINE_PROFILE, {*LINE_KEYS, *LINE_COLS}))
 def a4_lineitem(spark, d):
-    return _rounded(pf.profile(table(spark, d, "lineitem").select(*LINE_PROFILE)))
+    return _rounded(pf.profile(table(spark, d, "lineitem")))
 
 
 def _sql_moments(name: str, cols) -> str:
@@ -123,18 +125,23 @@ def a5(spark, d):
     " UNION ALL ".join(
         f"SELECT {quoted(c)} AS col, (SELECT count(DISTINCT {c}) FROM {JOINED}) AS n_unique, "
         f"(SELECT v FROM (SELECT {c}::VARCHAR AS v, count(*) AS n FROM {JOINED} WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY n DESC, v LIMIT 1)) AS mode"
-        for c in ("text", "lang", "quality")
+        for c in JOINED_COLS
     ),
 )
 def a6(spark, d):
-    return pf.column_modes(joined(spark, d), ["text", "lang", "quality"])
+    return pf.column_modes(joined(spark, d), JOINED_COLS)
+
+
+KINDED = f"(SELECT *, 'review' AS kind FROM {JOINED})"
 
 
 @query(
     "a7_profile_flags",
-    f"""SELECT "column", 'high_missing' AS flag FROM ({_sql_missing(JOINED, JOINED_COLS)}) WHERE missing_pct > 50
-    UNION ALL SELECT 'text', 'high_cardinality' FROM documents HAVING count(DISTINCT text) > 100
-    UNION ALL SELECT 'kind', 'constant'""",
+    " UNION ALL ".join(
+        [f"""SELECT "column", 'high_missing' AS flag FROM ({_sql_missing(KINDED, [*JOINED_COLS, "kind"])}) WHERE missing_pct > 50"""]
+        + [f"SELECT {quoted(c)}, 'high_cardinality' FROM {KINDED} HAVING count(DISTINCT {c}) > 100" for c in ("text", "lang", "source", "kind")]
+        + [f"SELECT {quoted(c)}, 'constant' FROM {KINDED} HAVING count(DISTINCT {c}) <= 1" for c in (*JOINED_COLS, "kind")]
+    ),
 )
 def a7(spark, d):
     return pf.profile_flags(pf.profile(joined(spark, d).withColumn("kind", F.lit("review"))))
@@ -266,10 +273,11 @@ def a15(spark, d):
     "a17_payload_bytes",
     """SELECT 'doc_id' AS "column", 8 * count(doc_id) AS bytes FROM documents
     UNION ALL SELECT 'text', sum(strlen(text))::BIGINT FROM documents UNION ALL SELECT 'lang', sum(strlen(lang))::BIGINT FROM documents
+    UNION ALL SELECT 'source', sum(strlen(source))::BIGINT FROM documents
     UNION ALL SELECT 'n_chars', 8 * count(n_chars) FROM documents""",
 )
 def a17(spark, d):
-    return pf.payload_bytes(documents(spark, d).select("doc_id", "text", "lang", "n_chars"))
+    return pf.payload_bytes(documents(spark, d).select("doc_id", "text", "lang", "source", "n_chars"))
 
 
 OUT_COLS = ["l_quantity", "l_extendedprice"]

@@ -62,23 +62,29 @@ def s3(spark, d):
 
 @query(
     "s4_split_sink",
-    "SELECT doc_id, text FROM documents WHERE lang = 'fr'",
+    "SELECT doc_id, text, lang FROM documents",
 )
 def s4(spark, d):
     path = scratch_path(spark, "by-lang-csv")
     write_table(documents(spark, d).select("doc_id", "text", "lang"), path, "csv", ["lang"])
-    back = read_reviews_csv(spark, f"{path}/lang=fr", "doc_id bigint, text string", na_tokens=[""])
-    return back.select("doc_id", "text")
+    back = read_reviews_csv(spark, path, "doc_id bigint, text string, lang string", na_tokens=[""])
+    return back.select("doc_id", "text", "lang")
+
+
+CUSTOMER = ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
 
 
 @query(
     "s5_profile_sink",
-    """SELECT 'c_acctbal' AS "column", count(*) - count(c_acctbal) AS missing_count, 0.0::DOUBLE AS missing_pct FROM customer
-    UNION ALL SELECT 'c_mktsegment', count(*) - count(c_mktsegment), 0.0 FROM customer""",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS missing_count, "
+        f"CASE WHEN count(*) > 0 THEN 100.0 * (count(*) - count({c})) / count(*) ELSE 0 END::DOUBLE AS missing_pct FROM customer"
+        for c in CUSTOMER
+    ),
 )
 def s5(spark, d):
     path = scratch_path(spark, "profile")
-    write_table(pf.missing_summary(table(spark, d, "customer").select("c_acctbal", "c_mktsegment")), path)
+    write_table(pf.missing_summary(table(spark, d, "customer")), path)
     return spark.read.parquet(path)
 
 
@@ -180,10 +186,10 @@ def f11(spark, d):
 
 @query(
     "r1_sample_exact",
-    f"SELECT doc_id, text FROM documents ORDER BY {sql_key(42, 'doc_id')}, doc_id LIMIT 6000",
+    f"SELECT doc_id, text FROM documents ORDER BY {sql_key(42, 'doc_id')}, doc_id LIMIT 150",
 )
 def r1(spark, d):
-    return sm.sample_n(documents(spark, d).select("doc_id", "text"), 6000, 42, "doc_id")
+    return sm.sample_n(documents(spark, d).select("doc_id", "text"), 150, 42, "doc_id")
 
 
 @query(
