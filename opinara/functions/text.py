@@ -23,7 +23,7 @@ ACCENT_KEPT = ASCII_KEPT + "àâçéèêëîïôûùüÿñæœ"
 
 
 def char_class(spans: Iterable[tuple[int, int]]) -> str:
-    """Regex class written as ranges only: the regex engine tests one about six times
+    """Regex class written as ranges only: the regex engine tests one about 1.5 times
     faster than a negated class or one that lists single characters."""
     return "[" + "".join(f"\\x{{{low:x}}}-\\x{{{high:x}}}" for low, high in spans) + "]"
 

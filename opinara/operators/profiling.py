@@ -268,11 +268,15 @@ def histogram(df: DataFrame, col: str, bins: int | str = "auto") -> DataFrame:
         .groupBy("bin")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    grid = df.sparkSession.range(1).select(
-        F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1)).alias("bin"),
-        s["lo"].alias("lo"), (span / count).alias("w"),
+    # blocks of bins, so that no array grows with the number of bins
+    whole = df.sparkSession.range(1).select(
+        count.alias("k"), s["lo"].alias("lo"), (span / count).alias("w"),
         s["skew"].alias("skew"), s["kurt"].alias("kurtosis"),
     )
+    blocks = whole.withColumn("b", F.explode(F.expr("sequence(0L, (k - 1) div 65536)")))
+    grid = blocks.withColumn(
+        "bin", F.explode(F.expr("sequence(b * 65536, least(k - 1, b * 65536 + 65535))"))
+    ).drop("k", "b")
     return grid.join(found, "bin", "left").select(
         "bin",
         (F.col("lo") + F.col("bin") * F.col("w")).alias("low"),

@@ -154,12 +154,18 @@ def mismatched_pairs(
     if size <= 1:
         raise ValueError("batch size must be greater than 1")
     placed = batch_rows(df, size, key)
-    mirrored = placed.select(
-        "batch_id",
-        (F.col("batch_size") - 1 - F.col("slot")).alias("slot"),
-        *[F.col(c).alias(f"{prefix}{c}") for c in cols],
+    names = [c for c in placed.columns if c not in ("batch_id", "slot")]
+    # a batch has at most ``size`` rows: gathered once, it meets its own reverse
+    batches = placed.groupBy("batch_id").agg(
+        F.array_sort(F.collect_list(F.struct("slot", *names))).alias("rows")
     )
-    joined = placed.join(mirrored, ["batch_id", "slot"])
+
+    def met(row, other):
+        own = [row[c].alias(c) for c in ("slot", *names)]
+        return F.struct(*own, *[other[c].alias(f"{prefix}{c}") for c in cols])
+
+    met_rows = F.zip_with("rows", F.reverse("rows"), met)
+    joined = batches.select("batch_id", F.inline(met_rows))
     return joined.withColumn(
         "self_paired", F.col("slot") * 2 + 1 == F.col("batch_size")
     ).drop("batch_size")

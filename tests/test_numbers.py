@@ -184,11 +184,12 @@ def test_vector_tfidf_equals_relational_tfidf(spark, data):
     words = model.stages[2].vocabulary
     vec = model.transform(docs).select("doc_id", vector_to_array("features").alias("v")).orderBy("doc_id").limit(5)
     rel = {(r["doc_id"], r["term"]): r["w"] for r in ft.tfidf_terms(docs, "doc_id", "text").where("doc_id < 5").collect()}
-    common = {t for _, t in rel}
     for r in vec.collect():
-        for i, w in enumerate(r["v"]):
-            if w and words[i] in common and (r["doc_id"], words[i]) in rel:
-                assert w == pytest.approx(rel[r["doc_id"], words[i]], rel=0.05)
+        own = {words[i]: w for i, w in enumerate(r["v"]) if w}
+        want = {t: w for (k, t), w in rel.items() if k == r["doc_id"]}
+        assert own.keys() == want.keys()
+        for term, w in own.items():
+            assert w == pytest.approx(want[term], rel=1e-9)
 
 
 def test_most_frequent_against_a_sort(spark):
@@ -217,6 +218,14 @@ def largest_blocks(df, digits):
     return out
 
 
+def test_histogram_of_a_heavy_tail(spark):
+    rows = spark.range(2000).select((F.col("id") % 100).cast("double").alias("x"))
+    tail = rows.unionAll(spark.createDataFrame([(3e6,)], "x double"))
+    bins = pf.histogram(tail, "x")
+    total = bins.agg(F.sum("n"), F.count(F.lit(1))).first()
+    assert total[0] == 2001 and total[1] > 100_000
+
+
 def test_no_window_grows_with_sparse_ids_or_narrow_numbers(spark):
     from opinara.operators import ordering as od
 

@@ -50,7 +50,7 @@ def test_hints_need_no_shuffle_and_no_python(spark, data):
 def test_labels_are_not_computed_for_positions(spark, data):
     """The branch that counts blocks reads ids only."""
     text = plan(QUERIES["j1_combine_sources"](spark, data))
-    assert "ReadSchema: struct<doc_id:bigint,lang:string>" in text
+    assert "ReadSchema: struct<doc_id:bigint>" in text
 
 
 def test_no_one_task_window_over_rows(spark, data):
@@ -60,3 +60,8 @@ def test_no_one_task_window_over_rows(spark, data):
         for line in text.splitlines():
             if "Exchange SinglePartition" in line:
                 assert "text" not in line
+
+
+def test_labelled_corpus_is_one_scan(spark, data):
+    for name in ("l10_label_reviews", "label_counts_by_language"):
+        assert plan(QUERIES[name](spark, data)).count("FileScan parquet") == 1, name
