@@ -124,7 +124,7 @@ def l9(spark, d):
 
 @query("l10_label_reviews", LABELLED_SQL)
 def l10(spark, d):
-    return labelled_corpus(spark, d)
+    return labelled_corpus(spark, d).drop("lang")
 
 
 @query(

@@ -316,7 +316,7 @@ TUNING = f"""SELECT id, array_to_string(regexp_extract_all({sql_chatml(pr.CLASSI
 
 @query("d18_prepare_tuning_set", TUNING)
 def d18(spark, d):
-    return tn.prepare_tuning_set(labelled_corpus(spark, d))
+    return tn.prepare_tuning_set(labelled_corpus(spark, d).drop("lang"))
 
 
 def letters(text: str) -> list[int]:
