@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from opinara.session import scratch_path
 
-SLICE_BYTES = 4_000_000  # of text that numpy handles at a time
+SLICE_BYTES = 2_000_000  # of text that numpy handles at a time
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

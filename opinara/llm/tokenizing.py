@@ -20,8 +20,8 @@ from opinara.llm.words import raw_bytes, span_hash
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 
-KEPT_PIECES = 3_000_000  # pre-tokens a Python worker keeps, some 25 bytes each
-BATCH_BYTES = 4_000_000  # texts are encoded in runs of about so many bytes
+KEPT_PIECES = 1_500_000  # pre-tokens a Python worker keeps, some 25 bytes each
+BATCH_BYTES = 2_000_000  # texts are encoded in runs of about so many bytes
 
 # Byte classes: letters, digits, white space, anything else, bytes of other characters.
 LETTER, DIGIT, SPACE, OTHER, ODD = range(5)
