@@ -20,6 +20,7 @@ from opinara.plans.base import (
     quoted,
     table,
 )
+from opinara.plans.row_queries import SPLIT_SQL
 from opinara.session import cut_lineage, scratch_path
 from opinara.sources.files import load_model, save_model
 
@@ -192,3 +193,68 @@ def m3(spark, d):
 )
 def m4(spark, d):
     return mt.confusion_matrix(predictions(spark, d), lx.EVALUATION_TAXONOMY)
+
+# ---- What SQL can state of results that it cannot compute ---------------------------------
+
+EVALUATED = f"(SELECT * FROM ({SPLIT_SQL}) WHERE split <> 'train')"
+
+
+@query(
+    "v2_fit_totals",
+    f"SELECT split, count(*) AS rows, count(*) AS unit FROM {EVALUATED} GROUP BY split",
+)
+def v2_totals(spark, d):
+    """Rows of each held-out split, and those of length one or without known terms."""
+    unit = (F.abs(F.col("norm") - 1) < 1e-5) | ((F.col("terms") == 0) & (F.col("norm") == 0))
+    return v2(spark, d).groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.count_if(unit).alias("unit"))
+
+
+@query(
+    "c6_supports",
+    f"""WITH e AS {EVALUATED}, m AS (SELECT unnest(['logreg', 'svm', 'nb', 'rf']) AS model), s AS (SELECT unnest(['val', 'test']) AS split)
+    SELECT model, s.split, label, (SELECT count(*) FROM e WHERE e.split = s.split AND criteria = label) AS support, true AS in_bounds
+    FROM m, s, {LABELS}""",
+)
+def c6_supports(spark, d):
+    """Supports of every report of every model; all scores within their bounds.
+
+    The forest has fewer trees than in ``c6_train_all``: supports do not depend on them.
+    """
+    corpus = split_corpus(spark, d)
+    evals = {s: corpus.where(F.col("split") == s) for s in ("val", "test")}
+    small = {"rf": {"numTrees": 20, "maxDepth": 10}}
+    reports = md.train_all(
+        corpus.where("split = 'train'"), evals, "id", lx.EVALUATION_TAXONOMY, settings=small
+    )
+    inside = F.lit(True)
+    for c in SCORES:
+        inside = inside & F.col(c).between(0, 1)
+    return reports.select("model", "split", "label", "support", inside.alias("in_bounds"))
+
+
+@query(
+    "c7_ratio_bounds",
+    "SELECT count(*) AS rows, count(*) AS clamped FROM embeddings WHERE label % 2 <> 1",
+)
+def c7_bounds(spark, d):
+    """Only undesirable rows are weighted, each by its clamped odds."""
+    odds = F.greatest(F.least(F.col("p") / (1 - F.col("p") + 1e-8), F.lit(10.0)), F.lit(0.5))
+    good = F.col("p").between(0, 1) & (F.abs(F.col("weight") - odds) < 1e-9)
+    return c7(spark, d).agg(F.count(F.lit(1)).alias("rows"), F.count_if(good).alias("clamped"))
+
+
+@query(
+    "s7_reloaded_predictions",
+    f"SELECT count(*) AS rows, count(*) AS same FROM {EVALUATED} WHERE split = 'test'",
+)
+def s7_same(spark, d):
+    """A saved and reloaded model predicts what the model itself does."""
+    corpus = split_corpus(spark, d)
+    model = md.fit_classifiers(corpus.where("split = 'train'"), ["nb"])["nb"]
+    path = scratch_path(spark, "model")
+    save_model(model, path)
+    test = corpus.where("split = 'test'")
+    own = md.predict(model, test, "id").withColumnRenamed("y_pred", "own")
+    back = md.predict(load_model(path), test, "id").select("id", "y_pred")
+    both = own.join(back, "id")
+    return both.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("own").eqNullSafe(F.col("y_pred"))).alias("same"))

@@ -301,3 +301,19 @@ def o1(spark, d):
 def o2(spark, d):
     out = ol.isolation_forest(table(spark, d, "events"), ["user_id", "value"], "event_id")
     return out.where("iso_label = -1")
+
+
+@query(
+    "o2_forest_totals",
+    """SELECT count(*) AS rows, count(*) AS signed, true AS within FROM events
+    WHERE user_id IS NOT NULL AND value IS NOT NULL""",
+)
+def o2_totals(spark, d):
+    """Labels follow the score's sign; at most the share asked for is flagged."""
+    label = F.when(F.col("iso_score") < 0, -1).otherwise(1)
+    scored = ol.isolation_forest(table(spark, d, "events"), ["user_id", "value"], "event_id")
+    return scored.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.col("iso_label") == label).alias("signed"),
+        (F.count_if(F.col("iso_label") == -1) <= 0.05 * F.count(F.lit(1)) + 1).alias("within"),
+    )

@@ -253,11 +253,11 @@ _TEST = _quota("n", 0.2, "t", "SELECT criteria, count(*) AS n FROM (" + LABELLED
 _VAL = _quota("rest", 0.2, "v", f"SELECT *, n - t AS rest FROM ({_TEST})")
 
 
-@query(
-    "r4_split_exact",
-    f"""WITH q AS ({_VAL}) SELECT r.id, r.criteria, CASE WHEN rn <= t THEN 'test' WHEN rn <= t + v THEN 'val' ELSE 'train' END AS split
-    FROM ({RANKED_SQL}) r JOIN q USING (criteria)""",
-)
+SPLIT_SQL = f"""WITH q AS ({_VAL}) SELECT r.id, r.criteria, CASE WHEN rn <= t THEN 'test' WHEN rn <= t + v THEN 'val' ELSE 'train' END AS split
+    FROM ({RANKED_SQL}) r JOIN q USING (criteria)"""
+
+
+@query("r4_split_exact", SPLIT_SQL)
 def r4_exact(spark, d):
     corpus = cut_lineage(labelled_corpus(spark, d).select("id", "criteria"))
     return sm.stratified_split(corpus, "criteria", "id")

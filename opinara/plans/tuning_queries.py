@@ -285,6 +285,30 @@ def d15_best_fit(spark, d):
     )
 
 
+@query(
+    "d15_best_fit_totals",
+    f"""WITH w AS (SELECT least(len({sql_words('text')}), 512) AS n FROM documents)
+    SELECT (count(*) FILTER (n > 0))::BIGINT AS members, sum(n)::BIGINT AS tokens, 0::BIGINT AS over_full, 0::BIGINT AS mergeable FROM w""",
+)
+def d15_best_fit_totals(spark, d):
+    """What holds for any best-fit packing: all tokens, no bin over, no two bins that fit together."""
+    bins = d15_best_fit(spark, d)
+    fills = F.slice(F.array_sort(F.collect_list("n_tokens")), 1, 2)
+    shards = bins.groupBy("shard").agg(
+        F.sum("members").alias("members"),
+        F.sum("n_tokens").alias("tokens"),
+        F.count_if(F.col("n_tokens") > 512).alias("over_full"),
+        fills.alias("emptiest"),
+    )
+    fit = (F.size("emptiest") == 2) & (F.aggregate("emptiest", F.lit(0), lambda a, x: a + x) <= 512)
+    return shards.agg(
+        F.sum("members").cast("bigint").alias("members"),
+        F.sum("tokens").cast("bigint").alias("tokens"),
+        F.sum("over_full").cast("bigint").alias("over_full"),
+        F.count_if(fit).alias("mergeable"),
+    )
+
+
 @query(
     "d16_mismatched_pairs",
     f"""WITH p AS (SELECT id, prompt, chosen, row_number() OVER (ORDER BY id) - 1 AS rn, count(*) OVER () AS n FROM ({PAIR_SQL})),
