@@ -163,21 +163,21 @@ def full_sets(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(bitmap.view(np.uint64))
 
     def run(batches):
-        done: set[int] = set()
+        done: set[tuple[int, int]] = set()
         for batch in batches:
             for part in slices(batch, "text", SCAN_BYTES):
                 value, at = shingle_sets(part.column(0), s.words)
                 one, two = set_names(value, at)
                 bits = np.mod(one, s.filter_bits)
                 hit = (shared.value[bits >> 6] >> (bits & 63).astype(np.uint64)) & np.uint64(1)
-                take = [i for i in np.flatnonzero((hit == 1) & (at[1:] > at[:-1])).tolist()]
+                take = np.flatnonzero((hit == 1) & (at[1:] > at[:-1])).tolist()
                 fresh = []
                 for i in take:
-                    name = hash((int(one[i]), int(two[i])))
+                    name = (int(one[i]), int(two[i]))
                     if name not in done:
                         done.add(name)
                         fresh.append(i)
-                if len(done) > 1_000_000:  # forgetting costs repeated rows only
+                if len(done) > 200_000:  # forgetting costs repeated rows only
                     done.clear()
                 if fresh:
                     items = [value[at[i] : at[i + 1]].view(np.int64) for i in fresh]
