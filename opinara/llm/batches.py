@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from opinara.session import scratch_path
 
-SLICE_BYTES = 2_000_000  # of text that numpy handles at a time
+SLICE_BYTES = 1_000_000  # of text that numpy handles at a time
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -24,6 +24,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         total += int(size)
     if low < batch.num_rows:
         yield batch.slice(low)
+    pa.default_memory_pool().release_unused()
 
 
 def map_slices(

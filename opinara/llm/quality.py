@@ -239,7 +239,8 @@ def fit(counted: DataFrame, s: Settings) -> DataFrame:
     keys = materialize(group_keys(rows, s), "groups")
     model = estimate_groups(same_source(rows, keys).select(*GROUP, *X), s)
     known = model.where(F.col("rows") >= s.share * s.least_rows)
-    return keys.join(known, GROUP).select("lang", "source", "mean", "inverse")
+    # written, so that its size is known where rows meet it
+    return materialize(keys.join(known, GROUP).select("lang", "source", "mean", "inverse"), "group_models")
 
 
 def estimate_groups(rows: DataFrame, s: Settings) -> DataFrame:
@@ -324,7 +325,7 @@ def keep_good(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     model = fit(with_counts(docs.select("text", "lang", "source"), "text", "counts").drop("text"), settings)
     model = model.toDF("lang", "source", "model_mean", "model_inverse")
     names = docs.columns
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("doc"), "text", "lang", "source")
-    rows = same_source(with_counts(packed, "text", "counts"), model, "left")
+    own = [n if n in ("text", "lang", "source") else f"c{i}" for i, n in enumerate(names)]
+    rows = same_source(with_counts(docs.toDF(*own), "text", "counts"), model, "left")
     kept = rows.where(verdict("counts", "model_mean", "model_inverse", settings))
-    return kept.select(*(F.col("doc")[c].alias(c) for c in names))
+    return kept.select(*(F.col(a).alias(b) for a, b in zip(own, names)))
