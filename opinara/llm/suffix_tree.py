@@ -1,22 +1,25 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
 A state is a context of up to ``depth`` preceding words, or the start of a text. Contexts
-that make up at least ``least_context`` of all training tokens are candidates; of their
-next symbols those of at least ``least_next`` of the context are kept, all others share
-what is left. A candidate becomes a state if its next symbols diverge from those of its
-longest suffix that is one: tokens times Kullback-Leibler divergence, symbols that are not
-kept taken as one, reach ``least_gain``. Distributions are smoothed by a discount whose
-mass goes to the suffix's distribution, in the end to additive counts of single tokens. A
-token is scored in the longest suffix of what stands before it that is a state.
-
-Bounds hold at any corpus size: there are at most ``depth / least_context`` candidates
-and ``1 / least_next`` kept symbols of each, so the tree goes to all tasks whole. Counts
-of single tokens are unbounded: the ``head`` most frequent go to all tasks, all others are
-joined by shuffle.
+that occur ``least_count`` times in the training texts are candidates, however large the
+corpus. A candidate becomes a state if its next symbols diverge from those of its longest
+suffix that is one: tokens times Kullback-Leibler divergence reach ``least_gain``. All
+next symbols of a state are kept. Distributions are smoothed by a discount whose mass goes
+to the suffix's distribution, in the end to additive counts of single tokens. A token is
+scored in the longest suffix of what stands before it that is a state.
+
+``least_context`` and ``least_next`` can thin the tree further: least share of a context
+in all training tokens, and of a symbol in its context (others share what is left).
+
+The tree grows with the corpus, so its states and their next symbols are tables, counted
+level by level. A bitmap of fixed size says which contexts can be states, and the ``head``
+most frequent entries go to all tasks. Tokens that these do not decide, and single tokens
+beyond the ``head`` most frequent, are joined with the tables.
 """
 
 from __future__ import annotations
 
+import functools
 import zlib
 from dataclasses import dataclass
 
@@ -30,13 +33,15 @@ from opinara.llm.words import SPACED, mix, words_of
 
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)  # stand for no word
 ADDED = 0.1  # to every count of a token
+FILTER_BITS = 1 << 26
 
 
 @dataclass(frozen=True)
 class Settings:
-    depth: int = 2
-    least_context: float = 3e-4
-    least_next: float = 2e-3
+    depth: int = 3
+    least_count: int = 25
+    least_context: float = 0.0
+    least_next: float = 0.0
     least_gain: float = 25.0
     discount: float = 0.5
     head: int = 400_000
@@ -124,14 +129,53 @@ def token_counts(rows: DataFrame) -> DataFrame:
     return map_slices(rows, count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def next_counts(rows: DataFrame, candidates: np.ndarray, level: int, context) -> DataFrame:
-    """``(s, x, c)``: how often symbol ``x`` follows each candidate context."""
-    shared = context.broadcast(candidates)
+def frame_arrays(df: DataFrame) -> dict[str, np.ndarray]:
+    """A bounded table as unsigned (names) and signed (counts) arrays."""
+    frame = df.toArrow()
+    return {c: frame.column(c).to_numpy() for c in frame.column_names}
+
+
+def bitmap(names: DataFrame) -> np.ndarray:
+    """Bitmap of the column ``s``: at most FILTER_BITS / 64 rows reach the driver."""
+    words = frame_arrays(
+        names.select(F.pmod("s", F.lit(FILTER_BITS)).alias("bit"))
+        .select(F.expr("bit div 64 AS w"), F.expr("shiftleft(1L, CAST(bit % 64 AS INT)) AS b"))
+        .groupBy("w")
+        .agg(F.bit_or("b").alias("b"))
+    )
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[words["w"]] = words["b"]
+    return out.view(np.uint64)
+
+
+def passes(bits: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Whether each context can be one of the bitmap; no context, 0, cannot."""
+    at = (names & np.uint64(64 * len(bits) - 1)).astype(np.int64)
+    set_ = (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
+    return set_.astype(bool) & (names != 0)
+
+
+def candidates(pairs: DataFrame, least: float) -> DataFrame:
+    """``(s, up, n)``: contexts one word longer than those of ``(s, up, x, c)``."""
+
+    def name(batches):
+        for batch in batches:
+            s, up, x = (batch.column(i).to_numpy().view(np.uint64) for i in range(3))
+            # a single word's suffix is the empty context
+            longer = np.where(s == 0, np.uint64(0), extend(up, x))
+            yield pa.RecordBatch.from_arrays([signed(extend(s, x)), signed(longer), batch.column(3)], names=["s", "up", "n"])
+
+    frequent = pairs.where((F.col("c") >= least) & (F.col("x") != int(END.view(np.int64))))
+    return frequent.select("s", "up", "x", "c").mapInArrow(name, "s long, up long, n long")
+
+
+def next_counts(rows: DataFrame, bits, level: int) -> DataFrame:
+    """``(s, x, c)``: how often symbol ``x`` follows each context that passes the bitmap."""
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         t = tokens_of(training(batch), level)
         s = t.contexts[level - 1]
-        hit = find(shared.value, s) >= 0
+        hit = passes(bits.value, s)
         s, x = s[hit], t.symbol[hit]
         _, first, c = np.unique(pair(s, x), return_index=True, return_counts=True)
         return pa.RecordBatch.from_arrays([signed(s[first]), signed(x[first]), pa.array(c)], names=["s", "x", "c"])
@@ -139,131 +183,180 @@ def next_counts(rows: DataFrame, candidates: np.ndarray, level: int, context) ->
     return map_slices(rows, count, "s long, x long, c long").groupBy("s", "x").agg(F.sum("c").alias("c"))
 
 
+def grow(rows: DataFrame, counts: DataFrame, n_tokens: int, single: float, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """The tree as two tables: states and what follows them.
+
+    States: ``(s, above, n, m, back)``, the longest suffix that is a state (0: none), its
+    tokens, its rows among the entries, and what other symbols get of the suffix's share.
+    Entries: ``(s, x, c, p)``, the probability of each symbol seen after a state.
+    """
+    context = rows.sparkSession.sparkContext
+    least = max(s.least_count, s.least_context * n_tokens)
+    states, entries = [], []
+    none = F.lit(0).cast("long")
+    # what is known of the contexts one word shorter: of every symbol seen after a
+    # candidate, its probability in the longest suffix of it that is a state
+    solved = counts.select(
+        none.alias("s"), none.alias("up"), F.col("h").alias("x"), "c", none.alias("state"), ((F.col("c") + ADDED) / single).alias("p")
+    )
+    for level in range(1, s.depth + 1):
+        found = materialize(candidates(solved, least), f"candidates_{level}")
+        bits = context.broadcast(bitmap(found))
+        shorter = solved.select(F.col("s").alias("up"), "x", F.col("state").alias("above"), F.col("p").alias("below"))
+        joined = next_counts(rows, bits, level).join(found, "s").join(shorter, ["up", "x"])
+        joined = materialize(joined.withColumn("kept", F.col("c") >= s.least_next * F.col("n")), f"next_{level}")
+        kept = lambda v: F.sum(F.when(F.col("kept"), v).otherwise(0))
+        sums = joined.groupBy("s").agg(
+            F.first("above").alias("above"),
+            F.first("n").alias("n"),
+            F.count("x").alias("m"),
+            kept(F.col("c")).alias("seen"),
+            kept(F.lit(s.discount)).alias("taken"),
+            kept(F.col("below")).alias("seen_below"),
+            kept(F.col("c") * F.log(F.col("c") / F.col("n") / F.col("below"))).alias("gain"),
+        )
+        left = F.col("n") - F.col("seen")
+        left_below = F.greatest(1 - F.col("seen_below"), F.lit(1e-12))
+        gain = F.col("gain") + F.when(left > 0, left * F.log(left / F.col("n") / left_below)).otherwise(0)
+        back = F.greatest((left + F.col("taken")) / F.col("n"), F.lit(1e-12)) / left_below
+        own = materialize(sums.where(gain >= s.least_gain).select("s", "above", "n", "m", back.alias("back")), f"states_{level}")
+        states.append(own)
+        p = (
+            F.when(F.col("back").isNull(), F.col("below"))
+            .when(F.col("kept"), (F.col("c") - s.discount) / F.col("n"))
+            .otherwise(F.col("back") * F.col("below"))
+        )
+        state = F.when(F.col("back").isNull(), F.col("above")).otherwise(F.col("s"))
+        solved = materialize(
+            joined.join(own.select("s", "back"), "s", "left").select("s", "up", "x", "c", state.alias("state"), p.alias("p")),
+            f"solved_{level}",
+        )
+        entries.append(solved.where("s = state").select("s", "x", "c", "p"))
+    return functools.reduce(DataFrame.union, states), functools.reduce(DataFrame.union, entries)
+
+
+def least_power(df: DataFrame, column: str, limit: int) -> int:
+    """The least power of two that at most ``limit`` rows reach in a column of counts."""
+    reached = df.agg(*(F.sum((F.col(column) >= 2**k).cast("long")).alias(f"k{k}") for k in range(63))).first()
+    return next((2**k for k in range(63) if (reached[k] or 0) <= limit), 2**62)
+
+
 @dataclass
 class Tree:
-    """States sorted by name, and what is kept of them sorted by ``pair`` name."""
+    """The head: states sorted by name, and their entries sorted by ``pair`` name."""
 
+    bits: np.ndarray  # of all states, those beyond the head too
     state: np.ndarray
     suffix: np.ndarray  # place of the longest suffix that is a state, -1: none
-    back: np.ndarray  # log10 of what a symbol that is not kept gets of the suffix's share
+    back: np.ndarray  # log10 of what a symbol without entry gets of the suffix's share
+    whole: np.ndarray  # whether all entries of the state are here
     entry: np.ndarray
     value: np.ndarray  # log10 probability
 
-    def score(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
-        """Log10 probabilities as far as the tree has them, and tokens it leaves to counts."""
-        place = np.full(len(t.symbol), -1)
+    def look(self, t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log10 probabilities as far as the tree has them, which tokens it leaves to
+        counts, and which ones the tables have to decide."""
+        place, unknown = np.full(len(t.symbol), -1), np.zeros(len(t.symbol), bool)
         for context in t.contexts:  # the longest comes last
             found = find(self.state, context)
-            place = np.where((context != 0) & (found >= 0), found, place)
+            here = (context != 0) & (found >= 0)
+            place = np.where(here, found, place)
+            unknown = np.where(here, False, unknown | passes(self.bits, context))
         total = np.zeros(len(t.symbol))
-        open_ = np.flatnonzero(place >= 0)
-        rest = place < 0
+        open_ = np.flatnonzero((place >= 0) & ~unknown)
+        rest = (place < 0) & ~unknown
         while len(open_):
             at = find(self.entry, pair(self.state[place[open_]], t.symbol[open_]))
             hit = at >= 0
             total[open_[hit]] += self.value[at[hit]]
             miss = open_[~hit]
+            unknown[miss] |= ~self.whole[place[miss]]
+            miss = miss[self.whole[place[miss]]]
             total[miss] += self.back[place[miss]]
             place[miss] = self.suffix[place[miss]]
             done = place[miss] < 0
             rest[miss[done]] = True
             open_ = miss[~done]
-        return total, rest
+        total[unknown] = 0
+        return total, rest, unknown
 
+    def score(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
+        """Of a tree that is all head: log10 probabilities, and tokens left to counts."""
+        total, rest, unknown = self.look(t)
+        if unknown.any():
+            raise ValueError("the tree has states or entries beyond its head")
+        return total, rest
 
-def grow(levels: list[dict[str, np.ndarray]], single: float, s: Settings) -> Tree:
-    """States of all levels, shortest first, from the kept counts of each.
 
-    A level has, row by row, the context, its suffix, its tokens, a symbol, how often it
-    follows, and that symbol's own count; ``single`` turns counts into probabilities.
-    """
-    probability: dict[int, dict[int, float]] = {}
-    suffix: dict[int, int] = {}
-    back: dict[int, float] = {}
-
-    def of(state: int, x: int, c: int) -> float:
-        weight = 1.0
-        while state:
-            own = probability[state].get(x)
-            if own is not None:
-                return weight * own
-            weight *= back[state]
-            state = suffix[state]
-        return weight * (c + ADDED) / single
-
-    for level in levels:
-        order = np.argsort(level["s"], kind="stable")
-        rows = {k: v[order] for k, v in level.items()}
-        cuts = np.flatnonzero(np.r_[True, rows["s"][1:] != rows["s"][:-1]]) if len(order) else []
-        for low, high in zip(cuts, [*cuts[1:], len(order)]):
-            name, up, n = int(rows["s"][low]), int(rows["up"][low]), float(rows["n"][low])
-            while up and up not in probability:
-                up = suffix.get(up, 0)
-            x = rows["x"][low:high].tolist()
-            c = rows["c"][low:high].astype(float)
-            below = np.array([of(up, a, b) for a, b in zip(x, rows["cx"][low:high].tolist())])
-            raw = c / n
-            left, left_below = max(1 - raw.sum(), 0.0), max(1 - below.sum(), 1e-12)
-            gain = float((raw * np.log(raw / below)).sum())
-            gain += left * np.log(left / left_below) if left > 0 else 0.0
-            if n * gain < s.least_gain:
-                continue
-            own = (c - s.discount) / n
-            probability[name] = dict(zip(x, own.tolist()))
-            suffix[name] = up
-            back[name] = max(1 - own.sum(), 1e-12) / left_below
-    state = np.array(sorted(probability), np.uint64)
-    entries = sorted(
-        (int(e), np.log10(p))
-        for k in probability
-        for e, p in zip(
-            pair(np.uint64(k), np.array(list(probability[k]), np.uint64)).tolist(), probability[k].values()
-        )
-    )
+def head_of(states: DataFrame, entries: DataFrame, s: Settings) -> Tree:
+    """States and entries of the highest counts, at most ``head`` of each."""
+    bits = bitmap(states)
+    least = max(least_power(states, "n", s.head), least_power(entries, "c", s.head))
+    top, follow = frame_arrays(states.where(F.col("n") >= least)), frame_arrays(entries.where(F.col("c") >= least))
+    order = np.argsort(top["s"].view(np.uint64))
+    state, above = top["s"].view(np.uint64)[order], top["above"].view(np.uint64)[order]
+    names = follow["s"].view(np.uint64)
+    owner = find(state, names)  # never missing: a state occurs as often as its entries
+    entry = pair(names, follow["x"].view(np.uint64))
+    by = np.argsort(entry)
     return Tree(
+        bits,
         state,
-        find(state, np.array([suffix[int(k)] for k in state], np.uint64)),
-        np.log10(np.array([back[int(k)] for k in state])),
-        np.array([e for e, _ in entries], np.uint64),
-        np.array([v for _, v in entries]),
+        find(state, above),
+        np.log10(top["back"][order]),
+        np.bincount(owner, minlength=len(state)) == top["m"][order],
+        entry[by],
+        np.log10(follow["p"][by]),
     )
 
 
-def frame_arrays(df: DataFrame) -> dict[str, np.ndarray]:
-    """A bounded table as unsigned (names) and signed (counts) arrays."""
-    frame = df.toArrow()
-    return {c: frame.column(c).to_numpy() for c in frame.column_names}
+def learn(rows: DataFrame, counts: DataFrame, n_tokens: int, single: float, s: Settings) -> Tree:
+    """The head of the tree of all training texts."""
+    return head_of(*grow(rows, counts, n_tokens, single, s), s)
 
 
-def learn(rows: DataFrame, counts: DataFrame, n_tokens: int, single: float, s: Settings) -> Tree:
-    context = rows.sparkSession.sparkContext
-    least = s.least_context * n_tokens
-    frequent = frame_arrays(counts.where((F.col("c") >= least) & (F.col("h") != int(END.view(np.int64)))))
-    words, n = frequent["h"].view(np.uint64), frequent["c"]
-    name = extend(np.zeros(len(words), np.uint64), words)
-    suffix = np.zeros(len(words), np.uint64)
-    levels = []
-    for level in range(1, s.depth + 1):
-        order = np.argsort(name)
-        name, suffix, n = name[order], suffix[order], n[order]
-        if not len(name):
-            break
-        pairs = materialize(next_counts(rows, name, level, context), f"next_{level}")
-        totals = rows.sparkSession.createDataFrame(
-            pa.table({"s": signed(name), "n": pa.array(n.astype(np.int64))})
+def decide(looked: DataFrame, states: DataFrame, entries: DataFrame, counts: DataFrame, single: float) -> DataFrame:
+    """``(uid, deep_score)``: sums over tokens that the tables decide.
+
+    ``looked`` has ``(uid, deep)``, the symbol of each such token and the contexts of it
+    that can be states, longest first. Training tokens have an entry in their longest
+    state, so the first join decides nearly all; the others fall back through all contexts.
+    """
+    tokens = looked.select("uid", F.explode("deep").alias("t")).select("uid", "t.x", "t.s")
+    first = tokens.withColumn("s0", F.col("s")[0]).join(
+        entries.select(F.col("s").alias("s0"), "x", "p"), ["s0", "x"], "left"
+    )
+    first = materialize(
+        first.groupBy("uid").agg(
+            F.sum(F.log10("p")).alias("hit"),
+            F.collect_list(F.when(F.col("p").isNull(), F.struct("x", "s"))).alias("missed"),
+        ),
+        "decided",
+    )
+    none = F.lit(0).cast("long")
+    chain = F.concat("t.s", F.array(none))
+    missed = (
+        first.select("uid", F.posexplode("missed").alias("i", "t"))
+        .select("uid", "i", "t.x", F.posexplode(chain).alias("k", "s"))
+    )
+    known = entries.select("s", "x", "p").union(
+        counts.select(none.alias("s"), F.col("h").alias("x"), ((F.col("c") + ADDED) / single).alias("p"))
+    )
+    p = F.when(F.col("s") == 0, F.coalesce("p", F.lit(ADDED / single))).otherwise(F.col("p"))
+    steps = (
+        missed.join(known, ["s", "x"], "left")
+        .withColumn("p", p)
+        .join(states.select("s", "back"), "s", "left")
+        .groupBy("uid", "i")
+        .agg(
+            F.min(F.when(F.col("p").isNotNull(), F.struct("k", "p"))).alias("end"),
+            F.collect_list(F.struct("k", F.log10(F.coalesce("back", F.lit(1.0))).alias("b"))).alias("backs"),
         )
-        kept = pairs.join(F.broadcast(totals), "s").where(f"c >= 2 AND (c >= {s.least_next} * n OR c >= {least})")
-        kept = frame_arrays(kept.join(counts.toDF("x", "cx"), "x", "left").select("s", "x", "c", "n", "cx"))
-        own = {k: v.view(np.uint64) if k in "sx" else v for k, v in kept.items()}
-        at = find(name, own["s"])
-        own["up"] = suffix[at]
-        common = own["c"] >= s.least_next * own["n"]
-        levels.append({k: v[common] for k, v in own.items()})
-        # longer contexts: a candidate and a frequent symbol after it
-        longer = (own["c"] >= least) & (own["x"] != END)
-        name, n = extend(own["s"][longer], own["x"][longer]), own["c"][longer]
-        suffix = extend(own["up"][longer], own["x"][longer])
-    return grow(levels, single, s)
+    )
+    passed = F.expr("aggregate(filter(backs, b -> b.k < end.k), 0D, (v, b) -> v + b.b)")
+    fallen = steps.groupBy("uid").agg(F.sum(F.log10("end.p") + passed).alias("fallen"))
+    total = F.coalesce("hit", F.lit(0.0)) + F.coalesce("fallen", F.lit(0.0))
+    return first.join(fallen, "uid", "left").select("uid", total.alias("deep_score"))
 
 
 def score_texts(
@@ -289,7 +382,8 @@ def score_texts(
     head = frame_arrays(counts.where(word & (F.col("c") >= least)))
     order = np.argsort(head["h"].view(np.uint64))
     names, logs = head["h"].view(np.uint64)[order], np.log10((head["c"][order] + ADDED) / single)
-    tree = learn(rows, counts.where("c > 0"), n_tokens, single, s)
+    states, entries = grow(rows, counts.where("c > 0"), n_tokens, single, s)
+    tree = head_of(states, entries, s)
     model = spark.sparkContext.broadcast((tree, names, logs))
 
     def score(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -297,7 +391,7 @@ def score_texts(
         t = tokens_of(batch.column(2), s.depth)
         n = batch.num_rows
         add = lambda v, where=slice(None): np.bincount(t.owner[where], weights=v, minlength=n)
-        total, rest = tree.score(t)
+        total, rest, deep = tree.look(t)
         at = find(names, t.symbol)
         known = at >= 0
         base = np.where(known, logs[at] if len(logs) else 0.0, 0.0)
@@ -312,6 +406,15 @@ def score_texts(
             [signed(symbol), pa.array(times[order]), pa.array(left[order])], names=["h", "n", "m"]
         )
         cuts = np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)
+        # tokens that the tables decide, with their contexts, longest first
+        deep = np.flatnonzero(deep)
+        longest = np.stack([c[deep] for c in t.contexts[::-1]], 1)
+        can = passes(tree.bits, longest)
+        ends = np.append(0, np.cumsum(can.sum(1))).astype(np.int32)
+        chains = pa.StructArray.from_arrays(
+            [signed(t.symbol[deep]), pa.ListArray.from_arrays(pa.array(ends), signed(longest[can]))], names=["x", "s"]
+        )
+        deep_cuts = np.searchsorted(t.owner[deep], np.arange(n + 1)).astype(np.int32)
         return pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
@@ -321,8 +424,9 @@ def score_texts(
                 pa.array(add(base)),
                 pa.array(add(total + np.where(rest, base, 0.0))),
                 pa.ListArray.from_arrays(pa.array(cuts), inner),
+                pa.ListArray.from_arrays(pa.array(deep_cuts), chains),
             ],
-            names=["doc_id", "held_out", "n_tokens", "known", "base", "score", "tail"],
+            names=["doc_id", "held_out", "n_tokens", "known", "base", "score", "tail", "deep"],
         )
 
     kind = docs.schema[key].dataType.simpleString()
@@ -331,7 +435,7 @@ def score_texts(
         texts,
         score,
         f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, "
-        "tail array<struct<h: long, n: long, m: long>>",
+        "tail array<struct<h: long, n: long, m: long>>, deep array<struct<x: long, s: array<long>>>",
     )
     scored = materialize(scored.withColumn("uid", F.monotonically_increasing_id()), "scored")
     rare = counts.where(word & (F.col("c") > 0) & (F.col("c") < least))
@@ -348,12 +452,13 @@ def score_texts(
         )
     )
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return scored.join(tails, "uid", "left").select(
+    deep = decide(scored.select("uid", "deep"), states, entries, counts.where(word & (F.col("c") > 0)), single)
+    return scored.join(tails, "uid", "left").join(deep, "uid", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("known") + zero("more")).alias("n_known"),
         F.lit(n_tokens).cast("long").alias("train_tokens"),
         (F.col("base") + zero("more_base")).alias("base_score"),
-        (F.col("score") + zero("more_score")).alias("score"),
+        (F.col("score") + zero("more_score") + zero("deep_score")).alias("score"),
     )

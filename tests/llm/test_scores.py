@@ -148,6 +148,58 @@ def test_scores_without_training_texts(spark):
     assert tree.score_texts(documents(spark, [])).count() == 0
 
 
+def brute_scores(texts, held, s):
+    """The whole tree in plain dictionaries, and the score of every text."""
+    tokens = [["<s>", *spaced(t), "</s>"] for t in texts]
+    singles = collections.Counter(x for t, h in zip(tokens, held) if not h for x in t[1:])
+    single = sum(singles.values()) + tree.ADDED * (len(singles) + 1)
+    follow, states = collections.defaultdict(collections.Counter), {}
+    for t, h in zip(tokens, held):
+        for i in range(1, len(t) if not h else 0):
+            for k in range(1, min(s.depth, i) + 1):
+                follow[tuple(t[i - k : i])][t[i]] += 1
+
+    def probability(context, x):
+        while context and context not in states:
+            context = context[1:]
+        if not context:
+            return (singles[x] + tree.ADDED) / single
+        own, back = states[context]
+        return own[x] if x in own else back * probability(context[1:], x)
+
+    for context in sorted(follow, key=len):
+        own = follow[context]
+        n = sum(own.values())
+        below = {x: probability(context[1:], x) for x in own}
+        if n >= s.least_count and sum(c * math.log(c / n / below[x]) for x, c in own.items()) >= s.least_gain:
+            back = s.discount * len(own) / n / (1 - sum(below.values()))
+            states[context] = {x: (c - s.discount) / n for x, c in own.items()}, back
+    scores = [sum(math.log10(probability(tuple(t[max(0, i - s.depth) : i]), t[i])) for i in range(1, len(t))) for t in tokens]
+    return states, scores
+
+
+def sparse_corpus():
+    """Pairs of words that stand together 40 times each, rare in the whole corpus."""
+    rng = random.Random(8)
+    rows, pairs = [], [(f"a{i}", f"b{i}", f"c{i}") for i in range(120) for _ in range(40)]
+    rng.shuffle(pairs)
+    for i in range(0, len(pairs), 12):
+        rows.append((i, " ".join(f"{' '.join(p)} z{rng.randrange(900)}" for p in pairs[i : i + 12])))
+    return rows + [(9001, "a1 b1 c2 new a2 z5 b7"), (9002, ""), (9003, None)]
+
+
+@pytest.mark.parametrize("head", [50, 400_000])
+def test_rare_contexts_are_states(spark, monkeypatch, head):
+    monkeypatch.setattr(tree, "FILTER_BITS", 1 << 10)  # many false hits
+    rows, s = sparse_corpus(), tree.Settings(head=head)
+    held = [zlib.crc32(str(k).encode()) % 10 == 0 for k, _ in rows]
+    states, want = brute_scores([t for _, t in rows], held, s)
+    assert len(states) > 200
+    got = {r.doc_id: r.score for r in tree.score_texts(documents(spark, rows), s).collect()}
+    for (k, _), score in zip(rows, want):
+        assert math.isclose(got[k], score, abs_tol=1e-6)
+
+
 # ---- licenses -------------------------------------------------------------------------
 
 
