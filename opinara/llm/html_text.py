@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opinara.llm.batches import map_slices
+from opinara.llm.batches import map_slices, materialize
 from opinara.llm.html_blocks import Block, blocks_of, features
 
 OTHER, MAIN = 0, 1
@@ -130,26 +130,40 @@ def labelled_sequences(source: str, seed: int, s: Settings) -> list[tuple[list[l
 
 
 def training_rows(pages: DataFrame, s: Settings) -> DataFrame:
-    """``(sequence, features, label)`` of a bounded, seeded sample of labelled pages."""
+    """``(sequence, features, label)`` of a bounded, seeded sample of labelled pages.
+
+    The sample is the ``pages`` distinct pages with labels whose hashes are the least, or
+    all such pages if there are fewer.
+    """
     marked = pages.where(F.length("html") <= s.chars).where(
         F.lower("html").contains("<article") | F.lower("html").contains("<main")
     )
     seeded = marked.select("html", F.xxhash64("html").alias("seed"))
-    # a cut by hash first, so that tasks pass on few pages; copies of a page count once
-    share = min(1.0, 1.5 * s.pages / max(1, seeded.count()))
-    cut = min(2**63 - 1, int(share * 2**64) - 2**63)
-    few = seeded.where(F.col("seed") <= cut).groupBy("seed").agg(F.min("html").alias("html"))
-    sample = few.select("html", "seed").orderBy("seed").limit(s.pages)
 
     def run(batches):
         for b in batches:
             rows = []
             for source, seed in zip(b["html"], b["seed"]):
                 for k, (x, y) in enumerate(labelled_sequences(source, int(seed), s)):
-                    rows += [(f"{seed}-{k}", i, f, label) for i, (f, label) in enumerate(zip(x, y))]
-            yield pd.DataFrame(rows, columns=["sequence", "i", "features", "label"])
+                    rows += [(seed, f"{seed}-{k}", i, f, label) for i, (f, label) in enumerate(zip(x, y))]
+            yield pd.DataFrame(rows, columns=["seed", "sequence", "i", "features", "label"])
 
-    return sample.mapInPandas(run, "sequence string, i int, features array<string>, label int")
+    # a cut by hash first, so that tasks pass on few pages; copies of a page count once
+    distinct = seeded.agg(F.approx_count_distinct("seed")).first()[0]
+    share = min(1.0, 1.5 * s.pages / max(1, distinct))
+    while True:
+        cut = min(2**63 - 1, int(share * 2**64) - 2**63)
+        few = seeded.where(F.col("seed") <= cut).groupBy("seed").agg(F.min("html").alias("html"))
+        rows = materialize(
+            few.select("html", "seed").mapInPandas(run, "seed long, sequence string, i int, features array<string>, label int"),
+            "labelled_pages",
+        )
+        own = rows.select("seed").distinct()
+        if share >= 1 or own.count() >= s.pages:
+            break
+        share = min(1.0, 4 * share)  # too few of the pages had labels
+    sample = own.orderBy("seed").limit(s.pages)
+    return rows.join(F.broadcast(sample), "seed").drop("seed")
 
 
 # ---- the field ------------------------------------------------------------------------

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from opinara.llm.html_blocks import blocks_of, features
-from opinara.llm.html_text import MAIN, Field, Settings, extract_text, fit, labelled_sequences, own_labels, render, train
+from opinara.llm.html_text import MAIN, Field, Settings, extract_text, fit, labelled_sequences, own_labels, render, train, training_rows
 from opinara.llm.url_filter import Settings as UrlSettings
 from opinara.llm.url_filter import judge_urls, url_tokens
 
@@ -139,3 +139,16 @@ def test_extraction(spark):
     assert extract_text(pages).count() == len(rows)
     assert extract_text(pages.limit(0)).count() == 0
     assert fit(pages.where("html IS NULL").select("html"), Settings()) is None
+
+
+def test_copies_and_unlabelled_pages_do_not_thin_the_sample(spark):
+    rng = np.random.default_rng(6)
+    distinct = [page(rng, i % 4 + 1) for i in range(30)]
+    # marked pages that have no labels of their own
+    bare = [f"<main>only {i}</main>" for i in range(300)]
+    rows = [(h,) for h in distinct * 100 + bare]
+    sampled = training_rows(spark.createDataFrame(rows, "html string"), Settings(pages=10, layouts=0))
+    assert sampled.select("sequence").distinct().count() == 10
+    copies = spark.createDataFrame([(h,) for h in distinct[:3] * 1000], "html string")
+    sampled = training_rows(copies, Settings(pages=10, layouts=0))
+    assert sampled.select("sequence").distinct().count() == 3
