@@ -21,6 +21,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +32,7 @@ MASK_DELTA = 0xA282EAD8  # fixed value of the mask
 HEAD, HEAD_BYTES = "<QI", 12
 KEY, KEY_BYTES = "<Bq", 9
 ENDING = b"\n"
+PART_BYTES = 32_000_000  # of text in a part, about
 INDEX = "part long, offset long, length long, doc_id long, start_in_part long, n_tokens long, ids_crc32 long"
 
 
@@ -82,11 +84,14 @@ def write_records(
     """Encode every text, append ``end_id`` and write records in ascending key order.
 
     A null or empty text is the end id alone. Null keys come first, equal keys are
-    ordered by text. Keys are dealt by range, so a part holds a run of keys.
+    ordered by a hash of the text. Rows are dealt by ranges of all that orders them, copies
+    too, so a key or text of any number of rows is spread over parts, and each row weighs
+    by its bytes, so no part holds more than a few times ``PART_BYTES`` and one text.
     """
     ending = struct.pack("<H", end_id)
 
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
+        batch = batch.filter(pc.equal(batch.column(2), 0))
         ids, at = encoder(vocabulary).batch(batch.column(1))
         data = ids.astype("<u2").tobytes()
         frames = [
@@ -96,8 +101,19 @@ def write_records(
         return pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], names=["frame"])
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    ordered = rows.repartitionByRange("key").sortWithinPartitions("key", "text")
-    framed = map_slices(ordered, encode, "frame binary")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 32
+    facts = rows.agg(F.sum(size).alias("total"), F.count(F.lit(1)).alias("n")).first()
+    parts = max(1, -(-(facts["total"] or 0) // PART_BYTES))
+    step = max(1, 4 * (facts["total"] or 0) // max(1, facts["n"]))
+    order = ["key", "digest", "row", "weight"]
+    # a long text has more rows in the dealing, the first of them with the text; encode
+    # drops the others, as Spark would move a filter here before the dealing
+    weighed = rows.select(
+        "key", F.xxhash64("text").alias("digest"), F.monotonically_increasing_id().alias("row"), "text", (size / step).cast("int").alias("more")
+    ).select("key", "digest", "row", "text", F.explode(F.sequence(F.lit(0), "more")).alias("weight"))
+    weighed = weighed.withColumn("text", F.when(F.col("weight") == 0, F.col("text")))
+    dealt = weighed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    framed = map_slices(dealt.select("key", "text", "weight"), encode, "frame binary")
     framed.select(F.col("frame").cast("string").alias("value")).write.option(
         "lineSep", ENDING.decode()
     ).text(path)

@@ -100,6 +100,25 @@ def test_records_of_awkward_rows(spark, tmp_path):
     assert [r.doc_id for r in shuffled] != [k for k, *_ in want]
 
 
+def test_a_common_key_is_dealt_to_many_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("opinara.llm.records.PART_BYTES", 4000, raising=False)
+    rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else i, f"text {i} " * 10) for i in range(900)]
+    rows += [(5, "same " * 20)] * 300 + [(-1, "long " * 3000)] * 6
+    write_records(documents(spark, rows), f"{tmp_path}/data", BYTE, 2)
+    index_records(spark, f"{tmp_path}/data", f"{tmp_path}/index")
+    got = record_table(spark, f"{tmp_path}/index").orderBy("part", "offset").collect()
+    keys = [(r.doc_id is not None, r.doc_id or 0) for r in got]
+    assert keys == sorted((k is not None, k or 0) for k, _ in rows)
+    assert [r.start for r in got] == np.cumsum([0] + [r.n_tokens for r in got])[:-1].tolist()
+    want = [(k, zlib.crc32(np.array(byte_library.encode(t).ids + [2], "<u4").tobytes())) for k, t in rows]
+    assert sorted([(r.doc_id, r.ids_crc32) for r in got], key=str) == sorted(want, key=str)
+    parts = {}
+    for r in got:
+        parts.setdefault(r.part, []).append(r)
+    assert max(len(v) for v in parts.values()) < 200
+    assert max(sum(r.doc_id == -1 for r in v) for v in parts.values()) <= 2
+
+
 def test_no_records(spark, tmp_path):
     write_records(documents(spark, []), f"{tmp_path}/data", BYTE, 2)
     index_records(spark, f"{tmp_path}/data", f"{tmp_path}/index")
