@@ -20,7 +20,7 @@ from opinara.llm.words import raw_bytes, span_hash
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 
-KEPT_PIECES = 1_500_000  # pre-tokens a Python worker keeps, some 25 bytes each
+KEPT_PIECES = 1_500_000  # pre-tokens a Python worker keeps between runs, some 25 bytes each
 BATCH_BYTES = 2_000_000  # texts are encoded in runs of about so many bytes
 
 # Byte classes: letters, digits, white space, anything else, bytes of other characters.
@@ -143,8 +143,6 @@ class PieceTable:
         return np.where(self.keys[where] == keys, where, -1)
 
     def add(self, keys: np.ndarray, values: list) -> None:
-        if len(self.keys) + len(keys) > KEPT_PIECES:
-            self.__init__(self.pool.dtype.type)
         lengths = np.fromiter(map(len, values), np.int32, len(values))
         at = len(self.pool) + np.cumsum(lengths) - lengths
         flat = [x for v in values for x in v]
@@ -229,14 +227,16 @@ class Encoder:
         found = self.table.find(unique)
         missing = np.flatnonzero(found < 0)
         if len(missing):
+            if len(self.table.keys) + len(missing) > KEPT_PIECES:
+                # start anew with all pre-tokens of this run, however many
+                self.table = PieceTable(self.table.pool.dtype.type)
+                missing = np.arange(len(unique))
             s = data.tobytes()
             pieces = [s[a:b] for a, b in zip(start[first[missing]].tolist(), end[first[missing]].tolist())]
-            before = len(self.table.keys)
             self.table.add(unique[missing], list(map(self.piece, pieces)))
-            if len(self.table.keys) != before + len(missing):  # the table was emptied
-                gone = np.flatnonzero(self.table.find(unique) < 0)
-                self.table.add(unique[gone], [self.piece(s[a:b]) for a, b in zip(start[first[gone]].tolist(), end[first[gone]].tolist())])
             found = self.table.find(unique)
+            if (found < 0).any():
+                raise AssertionError("a pre-token is missing from the table")
         return self.gather(text, offsets, odd, start, found[inverse])
 
     def gather(self, text, offsets, odd, start, entry):

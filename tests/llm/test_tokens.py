@@ -48,6 +48,17 @@ def test_special_strings_and_small_tables(monkeypatch):
         assert ids[at[k] : at[k + 1]].tolist() == byte_library.encode(text or "", add_special_tokens=False).ids
 
 
+def test_one_run_beyond_the_table(monkeypatch):
+    monkeypatch.setattr("opinara.llm.tokenizing.KEPT_PIECES", 5)
+    fresh, counter = Encoder(BYTE), Counter(WORD, whole_tokens(WORD))
+    many = " ".join(f"xq{chr(97 + i % 26)}zv{'abcd'[i % 4]}k three" for i in range(40))
+    for text in ("one two three", f"one two three {many}", "three four", f"{many} four"):
+        ids, at = fresh.batch(pa.array([text]))
+        assert ids.tolist() == byte_library.encode(text, add_special_tokens=False).ids
+        values, _ = counter.batch(pa.array([text]))
+        assert values.sum() == len(word_library.encode(text, add_special_tokens=False).ids)
+
+
 def test_proven_tokens_encode_alone():
     proven = whole_tokens(WORD)
     assert len(proven) > 30000
