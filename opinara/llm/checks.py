@@ -77,3 +77,57 @@ v AS (SELECT *, CASE
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
   WHEN confidence IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict, confidence FROM v
 """
+
+# CRC-32 of the bytes ``bs`` of a text, by a table that the common rule fills.
+CRC_TABLE = """t AS (SELECT list(list_reduce(list_prepend(i, range(8)),
+  lambda c, _ : CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) AS r(i))"""
+
+
+def crc(value: str) -> str:
+    digits = f"hex(encode({value}))"
+    number = f"[('0x' || {digits}[2 * k - 1 : 2 * k])::BIGINT FOR k IN range(1, strlen({value}) + 1)]"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, {number}), lambda c, b : xor(c >> 8, t.t[(xor(c, b) & 255) + 1])))"
+
+
+RESAMPLING = f"""
+WITH {CRC_TABLE},
+d AS (SELECT row_number() OVER () AS r, doc_id, {ALNUM} AS ws FROM documents),
+b AS (SELECT {ALNUM} AS ws FROM benchmark),
+fd AS (SELECT r, unnest(ws) AS f FROM d UNION ALL SELECT r, unnest([ws[i] || ' ' || ws[i + 1] FOR i IN range(1, len(ws))]) FROM d
+  UNION ALL SELECT r, unnest([ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] FOR i IN range(1, len(ws) - 1)]) FROM d),
+fb AS (SELECT unnest(ws) AS f FROM b UNION ALL SELECT unnest([ws[i] || ' ' || ws[i + 1] FOR i IN range(1, len(ws))]) FROM b
+  UNION ALL SELECT unnest([ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] FOR i IN range(1, len(ws) - 1)]) FROM b),
+x AS (SELECT f, {crc("f")} % 10000 AS bucket FROM (SELECT f FROM fd UNION SELECT f FROM fb), t),
+cd AS (SELECT bucket, count(*) AS s FROM fd JOIN x USING (f) GROUP BY bucket),
+cb AS (SELECT bucket, count(*) AS t FROM fb JOIN x USING (f) GROUP BY bucket),
+n AS (SELECT (SELECT count(*) FROM fd) + 10000 AS s, (SELECT count(*) FROM fb) + 10000 AS t),
+g AS (SELECT i AS bucket, floor(1000 * ln((coalesce(cb.t, 0) + 1)::DOUBLE * n.s::DOUBLE / ((coalesce(cd.s, 0) + 1)::DOUBLE * n.t::DOUBLE)))::BIGINT AS gain
+  FROM n, range(10000) AS q(i) LEFT JOIN cd ON cd.bucket = i LEFT JOIN cb ON cb.bucket = i),
+w AS (SELECT r, count(*) AS n, sum(gain)::BIGINT AS weight FROM fd JOIN x USING (f) JOIN g USING (bucket) GROUP BY r),
+s AS (SELECT r, doc_id, len(ws) AS words, coalesce(n, 0) AS n, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('42:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM d LEFT JOIN w USING (r)),
+k AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM s WHERE words >= 20)
+SELECT doc_id, n::BIGINT AS n_features, weight, score,
+  CASE WHEN place <= (SELECT count(*) FROM k) * 5 // 100 THEN place END AS rank FROM s LEFT JOIN k USING (r)
+"""
+
+RUN_LOWER = "translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SPELLING = f"""
+WITH RECURSIVE {CRC_TABLE},
+r AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+l AS (SELECT id, {RUN_LOWER} AS w, count(*) AS n FROM r WHERE length(run) >= 6 GROUP BY ALL),
+h AS (SELECT w, n, {crc("concat(id, ':', w)")} AS h FROM l, t),
+x AS (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS w, n FROM h),
+v AS (SELECT w, sum(n)::BIGINT AS n FROM x WHERE length(w) >= 6 GROUP BY w HAVING sum(n) >= 5),
+d AS (SELECT w, n, i, substr(w, 1, i - 1) || substr(w, i + 1) AS rest FROM (SELECT w, n, unnest(range(1, length(w) + 1)) AS i FROM v)),
+p AS (SELECT a.w AS a, b.w AS b FROM d AS a JOIN d AS b ON a.rest = b.rest AND a.i = b.i AND a.w <> b.w
+  UNION SELECT d.w, v.w FROM d JOIN v ON d.rest = v.w UNION SELECT v.w, d.w FROM d JOIN v ON d.rest = v.w),
+m AS (SELECT a, count(*) AS n_near, max(n) AS n FROM p JOIN v ON v.w = b GROUP BY a),
+f AS (SELECT m.a AS w, min(b) AS form, any_value(m.n) AS form_n FROM m JOIN p USING (a) JOIN v ON v.w = p.b AND v.n = m.n JOIN v AS o ON o.w = m.a
+  WHERE m.n >= 5 * o.n GROUP BY m.a),
+c AS (SELECT w, form AS root, 1 AS k FROM f UNION ALL SELECT c.w, f.form, k + 1 FROM c JOIN f ON f.w = c.root),
+e AS (SELECT w, arg_max(root, k) AS root FROM c GROUP BY w)
+SELECT v.w AS word, form, coalesce(root, v.w) AS root, v.n, coalesce(n_near, 0)::BIGINT AS n_near, form_n
+FROM v LEFT JOIN m ON m.a = v.w LEFT JOIN f ON f.w = v.w LEFT JOIN e ON e.w = v.w
+"""

@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from opinara.llm import checks
 from opinara.llm.decontaminate import contamination
 from opinara.llm.html_text import extract_text
+from opinara.llm.importance import resample
 from opinara.llm.licenses import scan_licenses
 from opinara.llm.near_dup import THREE_WORDS, near_duplicates
 from opinara.llm.packing import pack_documents
 from opinara.llm.quality import quality
 from opinara.llm.records import index_records, record_table, write_records
 from opinara.llm.registry import CHECKS, QUERIES, table
+from opinara.llm.spelling import group_variants
 from opinara.llm.suffix_tree import score_texts
 from opinara.llm.token_counts import count_tokens
 from opinara.llm.url_filter import judge_urls, path_of
@@ -75,6 +77,16 @@ def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A twentieth of the documents, drawn towards the word runs of the benchmark."""
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequent words of all documents under the form that each is a variant of."""
+    return group_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES |= {
     "op1_url_filter": op1_url_filter,
     "op2_near_duplicates": op2_near_duplicates,
@@ -86,11 +98,15 @@ QUERIES |= {
     "op8_suffix_tree": op8_suffix_tree,
     "op9_quality": op9_quality,
     "op10_records": op10_records,
+    "op11_resampling": op11_resampling,
+    "op13_spelling": op13_spelling,
 }
 CHECKS |= {
     "op1_url_filter": checks.URL_FILTER,
     "op2_near_duplicates": checks.NEAR_DUPLICATES,
     "op3_decontamination": checks.CONTAMINATION,
+    "op11_resampling": checks.RESAMPLING,
+    "op13_spelling": checks.SPELLING,
 }
 
 
