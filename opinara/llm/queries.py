@@ -9,6 +9,7 @@ from opinara.llm import checks
 from opinara.llm.decontaminate import contamination
 from opinara.llm.html_text import extract_text
 from opinara.llm.importance import resample
+from opinara.llm.languages import predict_languages
 from opinara.llm.licenses import scan_licenses
 from opinara.llm.near_dup import THREE_WORDS, near_duplicates
 from opinara.llm.packing import pack_documents
@@ -82,6 +83,11 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the labelled ones outside the held-out fold."""
+    return predict_languages(table(spark, sf_dir, "documents"))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frequent words of all documents under the form that each is a variant of."""
     return group_variants(table(spark, sf_dir, "documents"))
@@ -99,6 +105,7 @@ QUERIES |= {
     "op9_quality": op9_quality,
     "op10_records": op10_records,
     "op11_resampling": op11_resampling,
+    "op12_languages": op12_languages,
     "op13_spelling": op13_spelling,
 }
 CHECKS |= {
