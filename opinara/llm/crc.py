@@ -8,11 +8,10 @@ import numpy as np
 
 # Fixed value of CRC-32: the reflected polynomial.
 POLYNOMIAL = 0xEDB88320
-MATRIX_BYTES = 4_000_000  # of one matrix
+MATRIX_BYTES = 1_000_000  # of one matrix
 WIDEST = 512  # bytes of a row; longer spans are few in any run and are read one by one
 
 ALL = np.uint32(0xFFFFFFFF)
-LOW = np.uint32(0xFF)
 EIGHT = np.uint32(8)
 
 
@@ -48,12 +47,12 @@ def span_crc(data: np.ndarray, start: np.ndarray, end: np.ndarray, before: np.nd
         if width == 0:
             result[group] = before[group]
             continue
-        rows = np.lib.stride_tricks.sliding_window_view(data, width)
+        places = np.arange(width)[:, None]
         step = max(1, MATRIX_BYTES // width)
         for low in range(0, len(group), step):
             take = group[low : low + step]
             state = before[take] ^ ALL
-            for column in np.ascontiguousarray(rows[start[take]].T):
-                state = TABLE[(state ^ column) & LOW] ^ (state >> EIGHT)
+            for column in data.take(start[take] + places):  # one column a byte position
+                state = TABLE.take(state.astype(np.uint8) ^ column, mode="clip") ^ (state >> EIGHT)
             result[take] = state ^ ALL
     return result
