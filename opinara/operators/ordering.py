@@ -147,6 +147,31 @@ def id_positions(
     )
 
 
+def attach_columns(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+    """The columns of ``right`` beside those of ``left``, row by row.
+
+    The first row along the integer ``left_key`` gets the first along ``right_key``, and
+    so on; the keys need not have equal values. ``right_key`` itself is not attached. Keys
+    must be distinct and not null. Tables of unequal length, or with columns of equal
+    names, are an error; empty tables give an empty one.
+    """
+    more = [c for c in right.columns if c != right_key]
+    clash = sorted({c.lower() for c in more} & {c.lower() for c in left.columns})
+    if clash:
+        raise ValueError(f"both tables have columns {clash}")
+    sides = []
+    for df, key in ((left, left_key), (right, right_key)):
+        n, distinct = df.agg(F.count(F.lit(1)), F.count_distinct(key)).first()
+        if n != distinct:
+            raise ValueError(f"{key} has nulls or repeated values")
+        sides.append(n)
+    if sides[0] != sides[1]:
+        raise ValueError(f"{sides[0]} rows cannot be set beside {sides[1]}")
+    own = id_positions(left, left_key, out="__at")
+    other = id_positions(right, right_key, out="__at").select("__at", *more)
+    return own.join(other, "__at").select(*left.columns, *more)
+
+
 def hash_positions(
     df: DataFrame,
     key: str,

@@ -11,6 +11,7 @@ from opinara.operators import metrics as mt
 from opinara.operators import profiling as pf
 from opinara.operators import sampling as sm
 from opinara.operators.labeling import combine_sources
+from opinara.operators.ordering import attach_columns
 from opinara.plans.base import (
     CELL,
     LABELLED_SQL,
@@ -306,6 +307,22 @@ def u2(spark, d):
     return documents(spark, d).select("doc_id", "lang").join(table(spark, d, "labels"), "doc_id")
 
 
+@query(
+    "u2_attach_by_position",
+    """SELECT d.doc_id, d.lang, m.other_id, m.other_chars
+    FROM (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) AS rn FROM documents) d
+    JOIN (SELECT doc_id AS other_id, n_chars AS other_chars, row_number() OVER (ORDER BY doc_id DESC) AS rn
+      FROM documents) m USING (rn)""",
+)
+def u2_positions(spark, d):
+    """Every document beside its mirrored one, as tuning sets attach unrelated answers."""
+    docs = documents(spark, d)
+    other = docs.select(
+        (-F.col("doc_id")).alias("place"), F.col("doc_id").alias("other_id"), F.col("n_chars").alias("other_chars")
+    )
+    return attach_columns(docs.select("doc_id", "lang"), other, "doc_id", "place")
+
+
 @query(
     "j1_combine_sources",
     f"SELECT id, text, criteria, row_number() OVER (ORDER BY {sql_key(42, 'id')}, id) AS shuffle_pos FROM ({LABELLED_SQL})",

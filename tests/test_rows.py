@@ -154,3 +154,24 @@ def test_labeler_failures_take_the_fallback(spark):
 
     got = {r["id"]: r["criteria"] for r in lab.label_reviews(df, lab.FRENCH, labeler=flaky).collect()}
     assert got == {1: "Service", 2: "Global_experience", 3: "Service"}
+
+
+def test_columns_attached_by_position(spark):
+    left = spark.createDataFrame([(-5, "a"), (70_000, "b"), (9, None), (10**12, "d")], "k long, x string").repartition(3)
+    right = spark.createDataFrame([(4, 40), (1, 10), (3, None), (2, 20)], "p int, y int").repartition(2)
+    got = od.attach_columns(left, right, "k", "p")
+    assert got.columns == ["k", "x", "y"]
+    assert sorted(map(tuple, got.collect())) == [(-5, "a", 10), (9, None, 20), (70_000, "b", None), (10**12, "d", 40)]
+    assert od.attach_columns(left.limit(0), right.limit(0), "k", "p").collect() == []
+
+
+def test_tables_that_cannot_be_attached(spark):
+    left = spark.createDataFrame([(1, "a"), (2, "b")], "k long, x string")
+    for right in (
+        spark.createDataFrame([(1, 5)], "p long, y int"),  # too short
+        spark.createDataFrame([(1, 5), (1, 6)], "p long, y int"),
+        spark.createDataFrame([(1, 5), (None, 6)], "p long, y int"),
+        spark.createDataFrame([(1, 5), (2, 6)], "p long, X int"),
+    ):
+        with pytest.raises(ValueError):
+            od.attach_columns(left, right, "k", "p")
