@@ -6,6 +6,7 @@ Tokens are white-space words unless a tokenizer column function is passed in.
 from __future__ import annotations
 
 import bisect
+import heapq
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -18,6 +19,7 @@ from opinara.functions import tokens as tk
 from opinara.functions.text import split_words, strip_ws, word_count
 from opinara.operators.filters import drop_null, drop_short_abusive
 from opinara.operators.ordering import id_positions, long_digits, running_total
+from opinara.session import cut_lineage
 
 Tokenizer = Callable[[Column], Column]
 
@@ -463,3 +465,82 @@ def pack_best_fit(
         F.transform("rows", lambda r: r["key"]).alias("members"),
         F.flatten(F.transform("rows", lambda r: r["__t"])).alias("tokens"),
     )
+
+
+def best_fit_steps(counts: dict[int, int], length: int) -> list[tuple[int, int, int, int, int]]:
+    """Best-fit decreasing of ``counts[n]`` rows of each size ``n``, run on the counts.
+
+    Steps ``(n, first, rows, bin, each)``: of the rows of size ``n``, ``rows`` from number
+    ``first`` on fill the bins from ``bin`` on, ``each`` rows a bin. Sizes fall; a row goes
+    to the bin with the least room that takes it, of equal ones to the first. Bins of one
+    room are kept as runs of neighbours. While a bin still has room for a row it is the
+    fullest that has, so a run takes all its rows at once, and its room falls by half or
+    more; a size cuts at most two runs. So there are fewer than ``3 * length *
+    log2(length)`` steps, however many rows.
+    """
+    runs: dict[int, list[tuple[int, int]]] = {}  # room: (first bin, bins) in a heap
+    rooms: list[int] = []  # sorted
+    steps = []
+    opened = 0
+
+    def put(room: int, first: int, bins: int) -> None:
+        if bins and room:
+            if room not in runs:
+                bisect.insort(rooms, room)
+            heapq.heappush(runs.setdefault(room, []), (first, bins))
+
+    for n in sorted((n for n, c in counts.items() if n > 0 and c > 0), reverse=True):
+        placed, total = 0, counts[n]
+        while placed < total:
+            at = bisect.bisect_left(rooms, n)
+            if at < len(rooms):
+                room = rooms[at]
+                first, bins = heapq.heappop(runs[room])
+                if not runs[room]:
+                    del runs[room], rooms[at]
+            else:
+                room, first = length, opened
+                bins = -(-(total - placed) // (length // n))
+                opened += bins
+            each = room // n
+            rows = min(total - placed, bins * each)
+            whole, rest = divmod(rows, each)
+            steps.append((n, placed, rows, first, each))
+            put(room - each * n, first, whole)
+            put(room - rest * n, first + whole, 1 if rest else 0)
+            used = whole + bool(rest)
+            put(room, first + used, bins - used)
+            placed += rows
+    return steps
+
+
+def pack_by_sizes(df: DataFrame, tokens: str, length: int, key: str) -> DataFrame:
+    """``(bin, members, tokens)``: rows cut to ``length``, packed best-fit decreasing over
+    the whole table, longest first and ties by the integer ``key``, which must be distinct.
+
+    Only the histogram of sizes, at most ``length`` rows, reaches the driver. Each row
+    knows its number among the rows of its size, and a table of steps whose size depends
+    on ``length`` alone says which bin that number has. Rows without tokens are in no bin.
+    """
+    cut = df.select(F.col(key).alias("key"), tk.truncate_tokens(F.col(tokens), length).alias("__t"))
+    sized = cut.select("key", F.size("__t").cast("int").alias("n")).where("n > 0")
+    sized = cut_lineage(sized)
+    counts = {r["n"]: r["count"] for r in sized.groupBy("n").count().collect()}
+    steps = df.sparkSession.createDataFrame(
+        best_fit_steps(counts, length), "n int, first bigint, rows bigint, bin bigint, each bigint"
+    )
+    # one row a size, so a row meets the steps of its size once
+    steps = steps.groupBy("n").agg(F.array_sort(F.collect_list(F.struct("first", "rows", "bin", "each"))).alias("steps"))
+    numbered = id_positions(sized, "key", ["n"], out="number").withColumn("number", F.col("number") - 1)
+    mine = F.filter("steps", lambda s: F.col("number").between(s["first"], s["first"] + s["rows"] - 1))[0]
+    placed = numbered.join(F.broadcast(steps), "n").select("key", "n", "number", mine.alias("s"))
+    placed = placed.select(
+        "key", "n", (F.col("s.bin") + F.floor((F.col("number") - F.col("s.first")) / F.col("s.each"))).alias("bin")
+    )
+    ordered = F.array_sort(F.collect_list(F.struct(-F.col("n"), F.col("key"), F.col("__t"))))
+    gathered = placed.join(cut, "key").groupBy("bin").agg(ordered.alias("rows"))
+    return gathered.select(
+        "bin",
+        F.transform("rows", lambda r: r["key"]).alias("members"),
+        F.flatten(F.transform("rows", lambda r: r["__t"])).alias("tokens"),
+    )

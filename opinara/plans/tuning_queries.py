@@ -309,6 +309,33 @@ def d15_best_fit_totals(spark, d):
     )
 
 
+# Longest first, ties by id; each row into the least room that takes it, else a new bin.
+BEST_FIT_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id, least(len({sql_words('text')}), 512) AS n FROM documents),
+  i AS MATERIALIZED (SELECT doc_id, n, row_number() OVER (ORDER BY n DESC, doc_id) AS i FROM w WHERE n > 0),
+  walk AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS doc_id, 0::BIGINT AS n, 0::BIGINT AS bin, []::BIGINT[] AS rooms
+    UNION ALL SELECT i, doc_id, n, bin,
+      CASE WHEN bin > len(rooms) THEN list_append(rooms, 512 - n)
+        ELSE rooms[1:bin - 1] || [rooms[bin] - n] || rooms[bin + 1:] END
+    FROM (SELECT i, doc_id, n, rooms, CASE WHEN best IS NULL THEN len(rooms) + 1 ELSE list_position(rooms, best) END AS bin
+      FROM (SELECT i.i, i.doc_id, i.n, rooms, list_min([r FOR r IN rooms IF r >= i.n]) AS best
+        FROM walk JOIN i ON i.i = walk.i + 1)))
+  SELECT bin - 1 AS bin, count(*) AS members, sum(n)::BIGINT AS n_tokens, min(doc_id) AS first_id, max(doc_id) AS last_id
+  FROM walk WHERE i > 0 GROUP BY 1"""
+
+
+@query("d15_pack_by_sizes", BEST_FIT_SQL)
+def d15_by_sizes(spark, d):
+    words = documents(spark, d).select("doc_id", split_words(F.col("text")).alias("w"))
+    packed = tn.pack_by_sizes(words, "w", 512, "doc_id")
+    return packed.select(
+        "bin",
+        F.size("members").cast("bigint").alias("members"),
+        F.size("tokens").cast("bigint").alias("n_tokens"),
+        F.array_min("members").alias("first_id"),
+        F.array_max("members").alias("last_id"),
+    )
+
+
 @query(
     "d16_mismatched_pairs",
     f"""WITH p AS (SELECT id, prompt, chosen, row_number() OVER (ORDER BY id) - 1 AS rn, count(*) OVER () AS n FROM ({PAIR_SQL})),

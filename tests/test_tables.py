@@ -1,3 +1,6 @@
+import math
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -99,6 +102,47 @@ def test_packing_keeps_every_token(spark):
     assert total / (50 * len(bins)) > 0.95
 
 
+def test_best_fit_on_counts_is_best_fit_row_by_row():
+    import random
+
+    draw = random.Random(5)
+    for length, n in ((10, 0), (7, 1), (50, 300), (64, 2000), (512, 700)):
+        top = length if n % 2 else max(1, length // 3)
+        sizes = sorted((draw.randint(1, draw.choice((top, length))) for _ in range(n)), reverse=True)
+        room, want = [], []
+        for size in sizes:
+            best = min((r for r in room if r >= size), default=None)
+            at = len(room) if best is None else room.index(best)
+            if best is None:
+                room.append(length)
+            room[at] -= size
+            want.append(at)
+        counts = Counter(sizes)
+        steps = tn.best_fit_steps(counts, length)
+        got = [first + j // each for _, _, rows, first, each in steps for j in range(rows)]
+        assert got == want
+        assert len(steps) <= 3 * length * math.log2(length)
+
+
+def test_pack_by_sizes_equals_the_whole_best_fit(spark):
+    rows = [(i, ["x"] * (i * 37 % 61)) for i in range(-150, 150)] + [(900, None), (901, [])]
+    df = spark.createDataFrame(rows, "id bigint, t array<string>")
+    got = tn.pack_by_sizes(df, "t", 50, "id").collect()
+    sizes = sorted(((min(len(t), 50), i) for i, t in rows if t), key=lambda r: (-r[0], r[1]))
+    room, bins = [], []
+    for n, i in sizes:
+        best = min((r for r in room if r >= n), default=None)
+        at = len(room) if best is None else room.index(best)
+        if best is None:
+            room.append(50)
+            bins.append([])
+        room[at] -= n
+        bins[at].append(i)
+    assert {r["bin"]: r["members"] for r in got} == dict(enumerate(bins))
+    assert all(len(r["tokens"]) == 50 - room[r["bin"]] for r in got)
+    assert tn.pack_by_sizes(df.where("id > 950"), "t", 50, "id").count() == 0
+
+
 def test_formatter_must_return_lists(spark):
     df = spark.createDataFrame([("a",)], "x string")
     with pytest.raises(Exception, match="must return a list"):
