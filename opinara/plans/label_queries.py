@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opinara.functions import labels as lb
@@ -51,50 +54,63 @@ _register_hint("l3_hint_arabizi", lx.ARABIZI_LEXICON, False)
 _register_hint("l4_hint_old_french", lx.OLD_FRENCH_LEXICON, None)
 
 
-HINTED_FR = (
-    f"SELECT id, text, c, {sql_first('c', lx.FRENCH_LEXICON)} AS hint FROM "
-    f"(SELECT doc_id AS id, text, {sql_clean('text', True)} AS c FROM documents WHERE lang = 'fr')"
+# The three review tables: name, language in prompts, rows, lexicon, accents kept, criteria.
+SOURCES = (
+    ("french", "French", "d.lang = 'fr'", lx.FRENCH_LEXICON, True, lx.SHARED_TAXONOMY),
+    ("english", "English", "d.lang = 'en'", lx.ENGLISH_LEXICON, False, lx.ENGLISH_TAXONOMY),
+    ("third", "Arabizi", "coalesce(d.lang, '') NOT IN ('fr', 'en')", lx.ARABIZI_LEXICON, False, lx.SHARED_TAXONOMY),
+)
+CONTEXT_EN = (
+    "concat('customer_rating: ', coalesce(CAST(l.quality AS VARCHAR), ''), chr(10), "
+    "'complaint_registered: ', coalesce(CAST(l.toxic AS VARCHAR), ''), chr(10))"
+)
+HINTED = " UNION ALL ".join(
+    f"SELECT id, '{name}' AS source, '{language}' AS language, {quoted(', '.join(taxonomy))} AS listed, text, c, context, "
+    f"{sql_first('c', lexicon)} AS hint FROM (SELECT d.doc_id AS id, d.text, {sql_clean('d.text', accents)} AS c, "
+    f"{CONTEXT_EN if name == 'english' else quoted('')} AS context FROM documents d LEFT JOIN labels l USING (doc_id) WHERE {where})"
+    for name, language, where, lexicon, accents, taxonomy in SOURCES
 )
 HINT_LINE = (
     "CASE WHEN hint IS NULL THEN '' ELSE concat('The review uses words of the criterion ''', hint, "
     "'''; prefer it over ''Global_experience''.', chr(10)) END"
 )
+PROMPT = (
+    "concat('Label one ', language, ' customer review.', chr(10), 'Review: ', text, chr(10), "
+    f"'Cleaned review: ', c, chr(10), context, {HINT_LINE}, 'Criteria: ', listed, chr(10), "
+    "'Use Global_experience only when no other criterion fits. Reply with one criterion.')"
+)
 
 
-@query("l5_hint_sentence", f"SELECT id, {HINT_LINE} AS sentence FROM ({HINTED_FR})")
-def l5(spark, d):
-    french, spec = source_tables(spark, d)[0]
-    return lab.with_hints(french, spec).select(
-        "id", pr.hint_sentence(F.col("hint")).alias("sentence")
-    )
+def each_source(spark, d, run):
+    """Union of ``run(table, spec)`` over the three review tables, with their names."""
+    parts = [
+        run(df, spec).withColumn("source", F.lit(source[0]))
+        for (df, spec), source in zip(source_tables(spark, d), SOURCES)
+    ]
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
-CONTEXT_EN = (
-    "concat('customer_rating: ', coalesce(CAST(l.quality AS VARCHAR), ''), chr(10), "
-    "'complaint_registered: ', coalesce(CAST(l.toxic AS VARCHAR), ''), chr(10))"
-)
+@query("l5_hint_sentence", f"SELECT id, source, {HINT_LINE} AS sentence FROM ({HINTED})")
+def l5(spark, d):
+    return each_source(
+        spark, d, lambda df, spec: lab.with_hints(df, spec).select("id", pr.hint_sentence(F.col("hint")).alias("sentence"))
+    )
 
 
-@query(
-    "l6_context_block",
-    f"SELECT d.doc_id AS id, {CONTEXT_EN} AS context FROM documents d LEFT JOIN labels l USING (doc_id) WHERE lang = 'en'",
-)
+@query("l6_context_block", f"SELECT id, source, context FROM ({HINTED})")
 def l6(spark, d):
-    english, spec = source_tables(spark, d)[1]
-    fields = {c: F.col(c) for c in spec.context if c in english.columns}
-    return english.select("id", pr.context_block(fields).alias("context"))
+    def context(df, spec):
+        fields = {c: F.col(c) for c in spec.context if c in df.columns}
+        return df.select("id", pr.context_block(fields).alias("context"))
 
+    return each_source(spark, d, context)
 
-@query(
-    "l7_annotation_prompt",
-    f"""SELECT id, concat('Label one French customer review.', chr(10), 'Review: ', text, chr(10),
-      'Cleaned review: ', c, chr(10), {HINT_LINE}, 'Criteria: ', {quoted(", ".join(lx.SHARED_TAXONOMY))}, chr(10),
-      'Use Global_experience only when no other criterion fits. Reply with one criterion.') AS prompt
-    FROM ({HINTED_FR})""",
-)
+
+@query("l7_annotation_prompt", f"SELECT id, source, {PROMPT} AS prompt FROM ({HINTED})")
 def l7(spark, d):
-    french, spec = source_tables(spark, d)[0]
-    return lab.with_prompts(lab.with_hints(french, spec), spec).select("id", "prompt")
+    return each_source(
+        spark, d, lambda df, spec: lab.with_prompts(lab.with_hints(df, spec), spec).select("id", "prompt")
+    )
 
 
 PARSED = (
@@ -129,12 +145,17 @@ def l10(spark, d):
 
 @query(
     "l10_label_from_responses",
-    PARSED.format(taxonomy=quoted_list(lx.ENGLISH_TAXONOMY), where="WHERE lang = 'en'"),
+    " UNION ALL ".join(
+        f"SELECT id, '{name}' AS source, criteria FROM "
+        f"({PARSED.format(taxonomy=quoted_list(taxonomy), where='d WHERE ' + where)})"
+        for name, _, where, _, _, taxonomy in SOURCES
+    ),
 )
 def l10_responses(spark, d):
-    english, spec = source_tables(spark, d)[1]
     stored = documents(spark, d).select(F.col("doc_id").alias("id"), F.expr(ANSWER).alias("raw"))
-    return lab.label_reviews(english, spec, responses=stored).select("id", "criteria")
+    return each_source(
+        spark, d, lambda df, spec: lab.label_reviews(df, spec, responses=stored).select("id", "criteria")
+    )
 
 
 def longest_name(prompts: pd.Series) -> pd.Series:
@@ -143,16 +164,22 @@ def longest_name(prompts: pd.Series) -> pd.Series:
     return prompts.map(lambda p: f"My answer:\n{names[len(p) % len(names)]} (sure)")
 
 
+# an answer that the source's own criteria lack takes the fallback
+CALLED = (
+    f"SELECT id, source, listed, [{', '.join(quoted(x) for x in lx.SHARED_TAXONOMY)}][length({PROMPT}) % 12 + 1] AS said "
+    f"FROM ({HINTED})"
+)
+
+
 @query(
     "l10_label_by_callable",
-    f"""WITH p AS (SELECT id, length(concat('Label one French customer review.', chr(10), 'Review: ', text, chr(10),
-      'Cleaned review: ', c, chr(10), {HINT_LINE}, 'Criteria: ', {quoted(", ".join(lx.SHARED_TAXONOMY))}, chr(10),
-      'Use Global_experience only when no other criterion fits. Reply with one criterion.')) AS n FROM ({HINTED_FR}))
-    SELECT id, [{", ".join(quoted(x) for x in lx.SHARED_TAXONOMY)}][n % 12 + 1] AS criteria FROM p""",
+    "SELECT id, source, CASE WHEN list_contains(string_split(listed, ', '), said) THEN said ELSE 'Global_experience' END "
+    f"AS criteria FROM ({CALLED})",
 )
 def l10_callable(spark, d):
-    french, spec = source_tables(spark, d)[0]
-    return lab.label_reviews(french, spec, labeler=longest_name).select("id", "criteria")
+    return each_source(
+        spark, d, lambda df, spec: lab.label_reviews(df, spec, labeler=longest_name).select("id", "criteria")
+    )
 
 
 REPAIRED = f"""WITH n AS (SELECT id, text, lower(Critere) AS low FROM ({NOISY_SQL}) WHERE text IS NOT NULL),
