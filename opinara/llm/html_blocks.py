@@ -13,10 +13,10 @@ BLOCKS = frozenset(
     "optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-# Elements whose content is no text of the page.
-SKIPPED = frozenset(
-    "script style noscript template iframe textarea select title svg math object canvas".split()
-)
+# Elements whose content is no text of the page. Without an end tag, RAW ones reach to the
+# end of the page, as in browsers; the others are then elements like any other.
+RAW = frozenset("script style textarea".split())
+SKIPPED = RAW | frozenset("noscript template iframe select title svg canvas".split())
 # A start tag on the left ends an open element on the right, up to its list or table.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -74,14 +74,14 @@ class Page:
     def text(self, data: str) -> None:
         if not self.held:
             self.at = self.stack[-1] if self.stack else Open("", frozenset(), None, False)
-        self.held.append(data)
+        # each run by itself: a reference never spans a tag
+        self.held.append(html.unescape(data) if "&" in data else data)
         if self.stack and self.stack[-1].links:
             self.linked += len(data)
 
     def flush(self) -> None:
         if self.held:
-            data = "".join(self.held)
-            words = " ".join((html.unescape(data) if "&" in data else data).split())
+            words = " ".join("".join(self.held).split())
             if words:
                 block = next((o.tag for o in reversed(self.stack) if o.tag in BLOCKS), "")
                 self.blocks.append(Block(words, block, self.at.inside, self.linked, self.at.gold))
@@ -129,12 +129,33 @@ class Page:
 
 
 ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in SKIPPED}
+# Start tags that end a drawing left open, unless they stand in a foreignObject.
+LEAVES = re.compile(
+    r"<(?=(?:foreignobject|blockquote|center|dd|div|dl|dt|h[1-6]|li|menu|ol|p|pre|table|ul)[\s/>])|</p(?=[\s/>])", re.I
+)
+
+
+def skip(tag: str, source: str, at: int, endless: set[str]) -> int | None:
+    """Where a skipped element whose content starts at ``at`` ends; None if it does not.
+
+    ``endless`` keeps the elements that have no end tag in the rest of the page.
+    """
+    over = None if tag in endless else ENDS[tag].search(source, at)
+    if over is None:
+        endless.add(tag)
+        return len(source) if tag in RAW else None
+    if tag == "svg":
+        left = LEAVES.search(source, at, over.start())
+        if left and source[left.end() : left.end() + 13].lower() != "foreignobject":
+            return left.start()
+    return over.end()
 
 
 def blocks_of(source: str | None) -> list[Block]:
     """Blocks in page order; broken markup is read as far as it goes."""
     source = source or ""
     page, at, n = Page(), 0, len(source)
+    endless: set[str] = set()
     while at < n:
         mark = source.find("<", at)
         if mark < 0:
@@ -153,10 +174,10 @@ def blocks_of(source: str | None) -> list[Block]:
             tag, at = found[1].lower(), found.end()
             if after == "/":
                 page.end(tag)
-            elif tag in SKIPPED:
-                if not found[2].endswith("/"):
-                    over = ENDS[tag].search(source, at)
-                    at = over.end() if over else n
+            elif tag in SKIPPED and found[2].endswith("/"):
+                pass
+            elif tag in SKIPPED and (over := skip(tag, source, at, endless)) is not None:
+                at = over
             else:
                 page.start(tag, found[2])
         elif after == "/" or after.isalpha():  # a tag that never closes its quotes or itself

@@ -74,6 +74,31 @@ def test_mined_rules_against_brute_force(spark):
 # ---- pages ----------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<article><p>a</p><svg><path></p><p>rest</p></article>", ["a", "rest"]),
+        ("<p>a<svg><path><p>b<p>c <svg><title>x</title></svg>d", ["a", "b", "c d"]),
+        ("<p>a<svg><foreignObject><div>x</div></foreignObject></svg>b", ["ab"]),
+        ("<p>a<svg><g>x</g></svg> <select><option>x</select>b<canvas>x</canvas>", ["a b"]),
+        ("<p>a <select><b>b</b><p>c", ["a b", "c"]),
+        ("<p>a <canvas>b<p>c <template>d<p>e<title>f", ["a b", "c d", "ef"]),
+        ("<p>a <math><mi>x</mi><mo>+</mo><mn>1</mn></math> <object>b</object> c", ["a x+1 b c"]),
+        ("<title>x</title><p>a<iframe>x</iframe><noscript>x</noscript>", ["a"]),
+        ("<p>a<svg/>b<p>c<script>x<p>y", ["ab", "c"]),
+        ("<p>a<style>x<p>y", ["a"]),
+        ("<p>A &<b>lt;</b> B &l<!-- -->t; &lt;i&gt; &amp;amp;&nbsp;C", ["A &lt; B &lt; <i> &amp; C"]),
+    ],
+)
+def test_no_text_is_lost_to_open_elements(page, want):
+    assert [b.text for b in blocks_of(page)] == want
+
+
+def test_many_open_elements_take_one_look():
+    page = "<p>" + "<svg>a <select>" * 20_000
+    assert [b.text for b in blocks_of(page)] == [" ".join("a" * 20_000)]
+
+
 def test_blocks_of_broken_markup():
     texts = lambda h: [b.text for b in blocks_of(h)]
     assert texts(None) == texts("") == texts("<!-- only <p>this</p> --><style>p{}</style>") == []
