@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 from opinara.llm import quality as ql
 from opinara.llm import suffix_tree as tree
-from opinara.llm.licenses import PHRASES, TEMPLATES, scan_licenses
+from opinara.llm.licenses import DECISIVE, PHRASES, TEMPLATES, Settings as LicenseSettings, align, scan_licenses
 from opinara.llm.packing import Evolution, best_fit, crossover, evolve, pack_documents
 from opinara.llm.tokenizing import BYTE_BPE, vocabulary_path
 from tests.llm.helpers import AWKWARD, SPACED, alnum, documents, spaced
@@ -239,6 +239,81 @@ def test_edited_notices_are_found(spark):
     assert all(got[k].labels == "" and got[k].score == 0 for k in got if k >= 100)
 
 
+NEAR_MISSES = [
+    ("Licensed under CC BY-NC-SA 4.0", {"cc-by-nc-sa-4.0"}),
+    ("Licensed under CC BY NC 4.1", set()),
+    ("Licensed under the Apache License 2.0", {"apache-2.0"}),
+    ("Licensed under the Apache License, Version 1.1", set()),
+    ("Released under MIT License", {"mit"}),
+    ("Released under the ISC License", set()),
+    ("GNU Lesser General Public License v2.1", {"lgpl-2.1"}),
+    ("under the terms of the GNU Affero General Public License as published by the Free Software Foundation", set()),
+    ("Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, "
+     "provided that the above copyright notice and this permission notice appear in all copies", {"isc"}),
+    ("the general use of any license is free of charge, to any person", set()),
+]
+
+
+def test_near_misses_of_notices(spark):
+    rng = random.Random(3)
+    rows = [(i, f"{clean(rng, 30)}. {text}. {clean(rng, 30)}") for i, (text, _) in enumerate(NEAR_MISSES)]
+    own = {label for label, _ in TEMPLATES}
+    for r in scan_licenses(documents(spark, rows)).collect():
+        text, want = NEAR_MISSES[r.doc_id]
+        assert {x.label for x in r.spans} == want, text
+        assert set(r.labels.split(",")) - set(PHRASES.values()) - {""} == {x for x in want if x in own}
+
+
+def brute_edits(own, words):
+    """Least edits of any run of words into a template; a decisive word costs 1000. A
+    version without minor number is not followed by one other than 0."""
+    cost = lambda x: 1000 if x in DECISIVE else 1
+    best = [0] * (len(words) + 1)
+    for w in own:
+        row = [best[0] + cost(w)]
+        for j, x in enumerate(words):
+            swap = best[j] + (0 if x == w else max(cost(w), cost(x)))
+            row.append(min(swap, best[j + 1] + cost(w), row[-1] + cost(x)))
+        best = row
+    if own[-1].lstrip("v").isdigit() and not own[-2].isdigit():
+        best = [1000 if x.isdigit() and x != "0" else b for b, x in zip(best, [*words, ""])]
+    return min(best)
+
+
+def test_one_edit_in_every_notice_against_brute_force(spark):
+    rng = random.Random(21)
+    templates = [alnum(text) for _, text in TEMPLATES]
+    rows = []
+    for own in templates:
+        for kind in ("none", "drop", "swap", "add"):
+            words = list(own)
+            at = rng.randrange(len(words))
+            if kind != "none" and len(words) >= 6:
+                words[at : at + (kind != "add")] = [] if kind == "drop" else ["other"]
+            rows.append((len(rows), " ".join([clean(rng, 12), *words, clean(rng, 12)])))
+    s, found = LicenseSettings(), 0
+    got = {r.doc_id: {x.label for x in r.spans} for r in scan_licenses(documents(spark, rows)).collect()}
+    for i, text in rows:
+        words = alnum(text)
+        grams = {tuple(words[j : j + 3]) for j in range(len(words) - 2)}
+        want = set()
+        for (label, _), own in zip(TEMPLATES, templates):
+            votes = sum(tuple(own[j : j + 3]) in grams for j in range(len(own) - 2))
+            if votes >= s.votes * (len(own) - 2) and brute_edits(own, words) <= max(1, int(s.edits * len(own))):
+                want.add(label)
+        assert got[i] == want, text
+        found += TEMPLATES[i // 4][0] in want
+    assert found > 0.8 * len(rows)
+
+
+def test_alignment_gives_the_run():
+    assert align([1, 2, 3], [9, 1, 2, 3, 9], set()) == (0, 1, 4)
+    assert align([1, 2, 3], [9, 1, 7, 3, 9], set()) == (1, 1, 4)
+    assert align([1, 2, 3], [9, 1, 3, 9], {2})[0] > 3
+    assert align([1, 2, 3], [1, 2, 5, 3], {5})[0] == 1  # the run 1 2
+    assert align([1, 2], [], set()) == (2, 0, 0)
+
+
 # ---- packing --------------------------------------------------------------------------
 
 BYTE = vocabulary_path(BYTE_BPE)
