@@ -150,6 +150,8 @@ def resample(docs: DataFrame, target: DataFrame, s: Settings = Settings()) -> Da
         F.shiftright(-F.col("score"), 16),
         -F.col("score"),
         F.coalesce(F.shiftright(F.col("doc_id").cast("long"), 16), F.lit((1 << 63) - 1)),
+        # Row numbers order the rows of one id only.
+        F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)),
         F.shiftright("row", 16),
     ]
     ranked = running_total(scored.where(drawn), order, digits, {"rank": F.lit(1)})

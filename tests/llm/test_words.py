@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from opinara.llm import importance, languages, spelling
 from opinara.llm.automata import Acceptor, OneEdit
@@ -92,6 +93,23 @@ def test_resampling_ties_and_empty_tables(spark):
     assert [r["rank"] for r in few] == [None] * 3
 
 
+def test_resampling_ties_of_neighbouring_ids_in_other_tasks(spark):
+    """Ids with equal scores, the larger ones in earlier parts of the table."""
+
+    def draw(i):
+        h = int(hashlib.sha256(f"42:{i}".encode()).hexdigest()[:8], 16)
+        return math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))
+
+    by_draw = collections.defaultdict(list)
+    for i in range(30_000):
+        by_draw[draw(i)].append(i)
+    tied = [i for d in sorted(by_draw, reverse=True) if len(by_draw[d]) > 1 for i in by_draw[d]][:400]
+    docs = [(i, "a b " * 10) for i in sorted(tied, reverse=True)] + [(None, "a b " * 10)]
+    frame = documents(spark, docs).repartitionByRange(8, -F.coalesce("doc_id", F.lit(0)))
+    got = importance.resample(frame, documents(spark, [])).collect()
+    assert sorted_rows(got) == sorted_rows(brute_resample(docs, []))
+
+
 # ---- languages ------------------------------------------------------------------------
 
 
