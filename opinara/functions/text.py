@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -51,6 +51,22 @@ def strip_ws(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITESPACE))
 
 
+SLICE_CHARS = 1_000_000  # of text that a user callable gets at a time
+
+
+def text_slices(values: pd.Series, size: Callable = len) -> Iterator[pd.Series]:
+    """Runs of values whose texts take about ``SLICE_CHARS``; at least one value each."""
+    low, total = 0, 0
+    for i, value in enumerate(values):
+        n = 0 if value is None else size(value)
+        if i > low and total + n > SLICE_CHARS:
+            yield values.iloc[low:i]
+            low, total = i, 0
+        total += n
+    if low < len(values):
+        yield values.iloc[low:]
+
+
 @F.pandas_udf(StringType())
 def _compose(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")

@@ -17,7 +17,7 @@ from opinara.functions.prompts import (
     expansion_prompt,
     scored_prompt,
 )
-from opinara.functions.text import clean_review, nfc, strip_ws
+from opinara.functions.text import clean_review, nfc, strip_ws, text_slices
 from opinara.operators.filters import (
     dedupe_first,
     drop_labels,
@@ -87,9 +87,9 @@ def with_prompts(df: DataFrame, spec: SourceSpec) -> DataFrame:
 
 
 def ask(df: DataFrame, labeler: Labeler, prompt: str = "prompt", out: str = "answer") -> DataFrame:
-    """Answers of a user callable, one Arrow batch of prompts at a time.
+    """Answers of a user callable, a slice of an Arrow batch of prompts at a time.
 
-    A batch whose call fails is asked row by row; a row that fails has no answer.
+    A slice whose call fails is asked row by row; a row that fails has no answer.
     """
 
     def one(text: str) -> str | None:
@@ -99,11 +99,12 @@ def ask(df: DataFrame, labeler: Labeler, prompt: str = "prompt", out: str = "ans
             return None
 
     def answers(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for prompts in batches:
-            try:
-                yield pd.Series(list(labeler(prompts)), index=prompts.index, dtype="object")
-            except Exception:
-                yield prompts.map(one)
+        for batch in batches:
+            for prompts in text_slices(batch):
+                try:
+                    yield pd.Series(list(labeler(prompts)), index=prompts.index, dtype="object")
+                except Exception:
+                    yield prompts.map(one)
 
     call = F.pandas_udf(answers, "string")
     return df.withColumn(out, call(F.col(prompt)))

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import bisect
 import heapq
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from opinara.functions import lexicons as lx
 from opinara.functions import prompts as pr
 from opinara.functions import tokens as tk
-from opinara.functions.text import split_words, strip_ws, word_count
+from opinara.functions.text import split_words, strip_ws, text_slices, word_count
 from opinara.operators.filters import drop_null, drop_short_abusive
 from opinara.operators.ordering import id_positions, long_digits, running_total
 from opinara.session import cut_lineage
@@ -27,7 +27,7 @@ PAD = -100  # in the type of the tokens beside it
 
 
 class UserTokenizer:
-    """A tokenizer callable as a column function, one Arrow batch at a time.
+    """A tokenizer callable as a column function, a slice of an Arrow batch at a time.
 
     ``encode`` takes one text, or with ``batched`` a list of them. ``each`` tokenizes
     every text of an array column in the same way.
@@ -38,17 +38,28 @@ class UserTokenizer:
             made = encode(texts) if batched else map(encode, texts)
             return [[int(i) for i in ids] for ids in made]
 
-        def ids(texts: pd.Series) -> pd.Series:
+        def one_slice(texts: pd.Series) -> pd.Series:
             known = texts.notna()
             out = pd.Series([None] * len(texts), index=texts.index, dtype="object")
             out[known] = pd.Series(many(list(texts[known])), index=texts.index[known], dtype="object")
             return out
 
-        def lists(arrays: pd.Series) -> pd.Series:
+        def one_slice_of_lists(arrays: pd.Series) -> pd.Series:
             flat = [t for a in arrays if a is not None for t in a]
             coded = iter(many(["" if t is None else t for t in flat]))
             return pd.Series([None if a is None else [next(coded) for _ in a] for a in arrays], index=arrays.index)
 
+        def letters(array) -> int:
+            return sum(len(t) for t in array if t is not None)
+
+        def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for texts in batches:
+                yield from map(one_slice, text_slices(texts))
+
+        def lists(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for arrays in batches:
+                yield from map(one_slice_of_lists, text_slices(arrays, letters))
+
         self.ids = F.pandas_udf(ids, "array<bigint>")
         self.lists = F.pandas_udf(lists, "array<array<bigint>>")
 
@@ -79,15 +90,17 @@ def as_token(df: DataFrame, tokens: str, value: str | int) -> Column:
 def format_rows(df: DataFrame, formatter: Callable[[pd.Series], pd.Series], col: str, out: str = "text") -> DataFrame:
     """One row per text of a user formatter, which must give a list for every row."""
 
-    @F.pandas_udf("array<string>")
-    def texts(values: pd.Series) -> pd.Series:
-        made = formatter(values)
-        for item in made:
-            if not isinstance(item, list):
-                raise ValueError("the formatter must return a list of texts")
-        return made
-
-    return df.withColumn(out, F.explode(texts(F.col(col))))
+    def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for values in batches:
+            for part in text_slices(values):
+                made = formatter(part)
+                for item in made:
+                    if not isinstance(item, list):
+                        raise ValueError("the formatter must return a list of texts")
+                yield made
+
+    call = F.pandas_udf(texts, "array<string>")
+    return df.withColumn(out, F.explode(call(F.col(col))))
 
 
 def truncated_text(c: Column, n: int) -> Column:

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from opinara.functions import lexicons as lx
 from opinara.operators import correlation as co
+from opinara.operators import features as ft
+from opinara.operators import labeling as lab
 from opinara.operators import metrics as mt
 from opinara.operators import models as md
 from opinara.operators import outliers as ol
 from opinara.operators import profiling as pf
+from opinara.operators import tuning as tn
 
 
 @pytest.fixture(scope="module")
@@ -192,6 +195,71 @@ def test_vector_tfidf_equals_relational_tfidf(spark, data):
             assert w == pytest.approx(want[term], rel=1e-9)
 
 
+def awkward_texts(spark):
+    rng = np.random.default_rng(8)
+    words = ["aa", "bb", "É1", "dd_", "x", "日本", "aa.bb"]
+    rows = [(int(i) if i % 9 else None, " ".join(rng.choice(words, rng.integers(0, 12)))) for i in range(90)]
+    rows += [(1, None), (2, ""), (5, "aa bb aa"), (5, "aa bb aa"), (5, "bb aa")]
+    return spark.createDataFrame(rows, "k long, text string").repartition(5)
+
+
+def test_term_counts_equal_counts_of_each_row(spark):
+    """Runs counted once for all sizes against terms counted inside each row."""
+    docs = awkward_texts(spark)
+    numbered = docs.withColumn("k", F.monotonically_increasing_id()).persist()
+    for sizes in ((1, 2), (2,), (1, 3), (3, 1, 2)):
+        rows = ft.document_counts(numbered, "k", "text", sizes)
+        want = rows.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
+        got = ft.term_counts(numbered, "text", sizes)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())), sizes
+
+
+def test_document_frequencies_shuffle_no_pairs(spark):
+    """Rows of one key, or without one, are one document; only their pairs are shuffled."""
+    docs = awkward_texts(spark)
+    got = ft.document_frequencies(docs, "k", "text")
+    want = ft.document_terms(docs, "k", "text").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    alone = docs.withColumn("k", F.monotonically_increasing_id())
+    assert sum(ft.document_frequencies(alone, "k", "text").toPandas()["n"]) == ft.document_terms(alone, "k", "text").distinct().count()
+
+
+def test_rows_of_a_class_do_not_meet_in_one_task(spark):
+    rows = spark.range(4000).select((F.col("id") % 50 == 0).cast("int").alias("c"), "id").repartition(4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        weighted = md.add_balanced_weight(rows, "c")
+        sizes = weighted.groupBy(F.spark_partition_id().alias("p")).count().collect()
+        assert sorted({round(r["weight"], 6) for r in weighted.collect()}) == [round(4000 / (2 * 3920), 6), 25.0]
+        assert max(r["count"] for r in sizes) <= 1100
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_user_callables_get_slices_of_bounded_text(spark):
+    """Many long texts in one Arrow batch reach a callable in several calls."""
+    long = spark.range(40).select("id", F.repeat(F.lit("word "), 40_000).alias("text")).coalesce(1)
+
+    def calls(values):
+        assert sum(map(len, values)) <= 1_000_000
+        return pd.Series([[str(len(v))] for v in values])
+
+    def once(values):
+        assert sum(map(len, values)) <= 1_000_000
+        return values.map(lambda v: str(len(v)))
+
+    assert {r["text"] for r in tn.format_rows(long, calls, "text").collect()} == {"200000"}
+    assert {r["answer"] for r in lab.ask(long, once, "text").collect()} == {"200000"}
+
+    def encode(texts):
+        assert sum(map(len, texts)) <= 1_000_000
+        return [[len(t)] for t in texts]
+
+    coded = tn.user_tokenizer(encode, batched=True)
+    both = long.select(coded(F.col("text")).alias("a"), coded.each(F.array("text")).alias("b")).collect()
+    assert len(both) == 40 and {(tuple(r["a"]), tuple(r["b"][0])) for r in both} == {((200_000,), (200_000,))}
+
+
 def test_most_frequent_against_a_sort(spark):
     from opinara.operators import features as ft
 
