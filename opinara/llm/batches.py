@@ -1,4 +1,4 @@
-"""Arrow helpers shared by the operators: bounded slices, row maps, written tables."""
+"""Arrow helpers shared by the operators: bounded slices and row maps; written tables."""
 
 from __future__ import annotations
 
@@ -6,9 +6,9 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-from opinara.session import scratch_path
+from opinara.session import materialize  # noqa: F401
 
 SLICE_BYTES = 1_000_000  # of text that numpy handles at a time
 
@@ -38,11 +38,3 @@ def map_slices(
                 yield fn(part)
 
     return df.mapInArrow(run, schema)
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there."""
-    spark: SparkSession = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)

@@ -26,6 +26,7 @@ from opinara.operators.filters import (
     min_length,
 )
 from opinara.operators.sampling import expansion_plan, shuffle_rows
+from opinara.session import materialize
 from opinara.sources.schema import harmonise, keep_existing, require_columns
 
 
@@ -178,8 +179,11 @@ def expand_corpus(
 
     Every label gets the same number of prompts, each with an exemplar and a language.
     Answers lose their double quotes; those of at most ``least`` characters, and rows
-    that failed, are left out. A new row's key is its label and number.
+    that failed, are left out. A new row's key is its label and number. The corpus is
+    written once and read from there, since sizes, exemplars and both passes of the
+    shuffle need it, however dear its rows are.
     """
+    df = materialize(df.select(key, text, label), "corpus")
     plan = expansion_plan(df, label, text, key, target, list(languages), seed)
     prompt = expansion_prompt(F.coalesce(F.col(label), F.lit("")), F.col("exemplar"), F.col("language"))
     asked = ask(plan.withColumn("__prompt", prompt), generator, "__prompt", "__answer")

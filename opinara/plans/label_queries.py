@@ -35,6 +35,7 @@ from opinara.plans.base import (
     sql_words,
 )
 from opinara.plans.text_queries import LAST_TOKEN
+from opinara.session import materialize
 
 
 def _register_hint(name: str, lexicon, accents: bool | None) -> None:
@@ -248,8 +249,9 @@ def l14(spark, d):
     FROM p JOIN e USING (criteria, pos)""",
 )
 def l15(spark, d):
+    corpus = materialize(labelled_corpus(spark, d).select("id", "text", "criteria"), "corpus")
     return expansion_plan(
-        labelled_corpus(spark, d), "criteria", "text", "id", 10_000, lx.LANGUAGES, 7
+        corpus, "criteria", "text", "id", 10_000, lx.LANGUAGES, 7
     )
 
 

@@ -70,3 +70,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: later stages restart from shared files, not from the source."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back: lineage ends there, it is
+    computed once, and readers take only the columns they need."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

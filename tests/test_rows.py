@@ -1,3 +1,6 @@
+from collections.abc import Iterator
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,6 +147,23 @@ def test_expansion_without_exemplar(spark):
     assert {r["exemplar"] for r in got.where("l IS NULL").collect()} == {"Standard review"}
 
 
+def test_expansion_reads_its_corpus_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def named(texts):
+        for batch in texts:
+            seen.add(len(batch))
+            yield batch.str[:1]
+
+    named.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    df = spark.createDataFrame([(i, f"{'ab'[i % 2]} text {i}") for i in range(40)], "id bigint, text string")
+    df = df.withColumn("criteria", F.pandas_udf(named, "string")("text"))
+    got = lab.expand_corpus(df, lambda prompts: prompts.map(lambda p: "a new review"), 10, ["A"], 1).collect()
+    assert seen.value == 40
+    assert len(got) == 50
+    assert sorted(r["shuffle_pos"] for r in got) == list(range(1, 51))
+
+
 def test_labeler_failures_take_the_fallback(spark):
     df = spark.createDataFrame([(1, "le plat"), (2, "boom"), (3, "prix")], "id bigint, text string")
 
