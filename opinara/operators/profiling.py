@@ -17,6 +17,7 @@ from pyspark.sql.types import (
     BooleanType,
     ByteType,
     DateType,
+    DecimalType,
     DoubleType,
     FloatType,
     IntegerType,
@@ -26,6 +27,7 @@ from pyspark.sql.types import (
 )
 
 from opinara.operators.ordering import double_digits, running_total
+from opinara.session import materialize
 from opinara.sources.schema import columns_by_type
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -73,55 +75,73 @@ def value_counts(df: DataFrame, cols: Sequence[str], kind: str = "double") -> Da
     return _long(df, cols, kind).groupBy("col", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def cumulative_counts(counts: DataFrame) -> DataFrame:
-    """Add ``upto``, the values up to and including this one, and ``rows``, all of them."""
-    return running_total(
-        counts,
-        [F.col("value")],
-        double_digits(F.col("value")),
-        {"upto": F.col("n")},
-        ["col"],
-        {"upto": "rows"},
-    )
-
-
 def exact_quantiles(
     df: DataFrame, cols: Sequence[str], probs: Sequence[float] = QUARTILES
 ) -> DataFrame:
-    """``(col, prob, quantile)`` with linear interpolation between neighbours."""
-    ranked = cumulative_counts(value_counts(df, cols))
-    at = ranked.withColumn("prob", F.explode(F.array(*[F.lit(p) for p in probs])))
+    """``(col, prob, quantile)`` with linear interpolation between neighbours. Counts per
+    value are written once when called."""
+    return quantiles_of_counts(materialize(value_counts(df, cols), "value_counts"), probs)
+
+
+def quantiles_of_counts(counts: DataFrame, probs: Sequence[float]) -> DataFrame:
+    """``(col, prob, quantile)`` of a table ``(col, value, n)`` that is cheap to read.
+
+    Running totals over blocks of neighbouring values tell which block holds each end of
+    a quantile; only the values of those blocks, two at most per quantile, are ordered.
+    """
+    digits = double_digits(F.col("value"))
+    block = ["__top", "__next"]
+    keyed = counts.select("col", "value", "n", *[d.alias(b) for d, b in zip(digits, block)])
+    sums = keyed.groupBy("col", *block).agg(F.sum("n").alias("n"))
+    placed = running_total(
+        sums, [F.col("__next")], [F.col("__top")], {"upto": F.col("n")}, ["col"], {"upto": "rows"}
+    )
     place = (F.col("rows") - 1) * F.col("prob")
-    low, high = F.floor(place), F.ceil(place)
+    ends = F.array(
+        F.struct(F.lit(True).alias("low"), F.floor(place).alias("rank")),
+        F.struct(F.lit(False).alias("low"), F.ceil(place).alias("rank")),
+    )
 
     def covers(rank: Column) -> Column:
         return (rank < F.col("upto")) & (rank >= F.col("upto") - F.col("n"))
 
-    ends = (
-        at.withColumns({"__low": covers(low), "__high": covers(high), "__t": place - low})
-        .where(F.col("__low") | F.col("__high"))
-        .groupBy("col", "prob")
-        .agg(
-            F.max(F.when(F.col("__low"), F.col("value"))).alias("a"),
-            F.max(F.when(F.col("__high"), F.col("value"))).alias("b"),
-            F.max("__t").alias("t"),
-        )
+    wanted = (
+        placed.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
+        .withColumns({"t": place - F.floor(place), "end": F.explode(ends)})
+        .where(covers(F.col("end.rank")))
+    )
+    # ranks count from the first row of their block on
+    wanted = materialize(
+        wanted.select(
+            "col", *block, "prob", "t", "end.low", (F.col("end.rank") - F.col("upto") + F.col("n")).alias("rank")
+        ),
+        "quantile_blocks",
+    )
+    near = keyed.join(F.broadcast(wanted.select("col", *block).distinct()), ["col", *block], "left_semi")
+    ranked = running_total(near, [F.col("value")], digits[len(block) :], {"upto": F.col("n")}, ["col", *block])
+    found = ranked.join(F.broadcast(wanted), ["col", *block]).where(covers(F.col("rank")))
+    low = F.col("low")
+    quantiles = found.groupBy("col", "prob").agg(
+        F.max(F.when(low, F.col("value"))).alias("a"),
+        F.max(F.when(~low, F.col("value"))).alias("b"),
+        F.max("t").alias("t"),
     )
-    return ends.select(
+    return quantiles.select(
         "col", "prob", (F.col("a") + (F.col("b") - F.col("a")) * F.col("t")).alias("quantile")
     )
 
 
 def quartile_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """One row per column with ``q25``, ``median`` and ``q75``."""
+    return _quartiles_wide(exact_quantiles(df, cols))
 
+
+def _quartiles_wide(quantiles: DataFrame) -> DataFrame:
     def at(p: float) -> Column:
         return F.max(F.when(F.col("prob") == p, F.col("quantile")))
 
-    return (
-        exact_quantiles(df, cols)
-        .groupBy("col")
-        .agg(at(0.25).alias("q25"), at(0.5).alias("median"), at(0.75).alias("q75"))
+    return quantiles.groupBy("col").agg(
+        at(0.25).alias("q25"), at(0.5).alias("median"), at(0.75).alias("q75")
     )
 
 
@@ -166,9 +186,42 @@ def column_modes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     )
 
 
+def typed_counts(df: DataFrame, numeric: Sequence[str]) -> DataFrame:
+    """``(col, number, whole, text, n)`` per distinct value of every column.
+
+    ``number`` is a numeric column's value as a double. Values that are one double stay
+    apart by ``whole`` (integers; zeros with a sign) or ``text`` (decimals). Other columns
+    have ``text`` alone. Numbers are not spelled out, which costs more than counting them.
+    """
+    cells = []
+    for field in df.schema:
+        c, kind = F.col(f"`{field.name}`"), field.dataType
+        number = whole = text = F.lit(None)
+        if field.name in numeric:
+            number = c
+        if field.name not in numeric or isinstance(kind, DecimalType):
+            text = c
+        elif isinstance(kind, (FloatType, DoubleType)):
+            whole = F.when((c == 0) & (c.cast("string") == "-0.0"), 1)
+        else:
+            whole = c
+        cells.append(
+            F.struct(
+                F.lit(field.name).alias("col"),
+                number.cast("double").alias("number"),
+                whole.cast("bigint").alias("whole"),
+                text.cast("string").alias("text"),
+                is_missing(df, field.name).alias("missing"),
+            )
+        )
+    long = df.select(F.inline(F.array(*cells))).where("NOT missing")
+    return long.groupBy("col", "number", "whole", "text").agg(F.count(F.lit(1)).alias("n"))
+
+
 def profile(df: DataFrame) -> DataFrame:
     """One row per column: type, missing cells, distinct values, and either the numeric
-    summary or the mode."""
+    summary or the mode. Values are counted and written once when called; distinct
+    values, modes and quartiles are read off those counts."""
     numeric, _ = columns_by_type(df)
     types = F.create_map(
         *[x for f in df.schema for x in (F.lit(f.name), F.lit(f.dataType.simpleString()))]
@@ -178,10 +231,16 @@ def profile(df: DataFrame) -> DataFrame:
         F.col("missing_count").alias("n_missing"),
         "missing_pct",
     )
-    base = base.join(column_modes(df, df.columns), "col", "left")
+    counts = materialize(typed_counts(df, numeric), "value_counts")
+    modes = counts.groupBy("col").agg(
+        F.count(F.lit(1)).alias("n_unique"),
+        F.min(F.struct((-F.col("n")).alias("neg"), F.col("text"))).getField("text").alias("mode"),
+    )
+    base = base.join(modes, "col", "left")
     if numeric:
+        numbers = counts.where("number IS NOT NULL").select("col", F.col("number").alias("value"), "n")
         base = base.join(numeric_moments(df, numeric), "col", "left")
-        base = base.join(quartile_table(df, numeric), "col", "left")
+        base = base.join(_quartiles_wide(quantiles_of_counts(numbers, QUARTILES)), "col", "left")
     unique = F.coalesce(F.col("n_unique"), F.lit(0))
     return base.select(
         F.col("col").alias("column"),

@@ -325,3 +325,49 @@ def test_trees_take_distinct_rows_at_any_size(spark):
         df = spark.range(n).select((F.col("id") * 1_000_003).alias("id"), F.rand(1).alias("x"), F.rand(2).alias("y"))
         forest = ol.fit_forest(df, ["x", "y"], "id", trees=4)
         assert len(forest) == 4 and all(50 < len(t) < 2 * most for t in forest)
+
+
+def test_quantiles_count_their_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def value(i):
+        seen.add(1)
+        return float(i % 50) if i % 3 else 0.1 * i
+
+    df = spark.range(600).withColumn("v", value("id"))
+    got = {r["prob"]: r["quantile"] for r in pf.exact_quantiles(df.select("v"), ["v"], [0.0, 0.3, 0.5, 1.0]).collect()}
+    assert seen.value == 600
+    want = [float(i % 50) if i % 3 else 0.1 * i for i in range(600)]
+    for p, q in got.items():
+        assert math.isclose(q, np.quantile(want, p), rel_tol=1e-12)
+    assert len(got) == 4
+
+
+def test_quantiles_of_close_and_odd_values(spark):
+    close = [1e9 + i / 1024 for i in range(300)]  # one block of values
+    odd = [math.inf, -math.inf, -0.0, 0.0, 5e-324, -3.5, -3.5, 2.0**60, None, math.nan]
+    rows = [(x, odd[i] if i < len(odd) else None) for i, x in enumerate(close)]
+    df = spark.createDataFrame(rows, "x double, y double")
+    got = {(r["col"], r["prob"]): r["quantile"] for r in pf.exact_quantiles(df, ["x", "y"], [0.25, 0.5, 0.75]).collect()}
+    for p in (0.25, 0.5, 0.75):
+        assert got["x", p] == pytest.approx(np.quantile(close, p), rel=1e-15)
+    # -inf, -3.5, -3.5, 0, 0, 5e-324, 2 ** 60, inf: places 1.75, 3.5 and 5.25
+    assert got["y", 0.25] == -3.5 and got["y", 0.5] == 0.0 and got["y", 0.75] == 2.0**58
+
+
+def test_profile_counts_distinct_values_exactly(spark):
+    from decimal import Decimal
+
+    rows = [
+        (2**60 + 1, -0.0, Decimal("1.10"), "b", True),
+        (2**60 + 2, 0.0, Decimal("1.10"), "a", None),
+        (2**60 + 2, math.nan, Decimal("1.11"), "b", True),
+        (None, 1.5, None, None, False),
+    ]
+    df = spark.createDataFrame(rows, "i bigint, x double, d decimal(20,2), s string, t boolean")
+    got = {r["column"]: r for r in pf.profile(df).collect()}
+    assert {c: got[c]["n_unique"] for c in got} == {"i": 2, "x": 3, "d": 2, "s": 2, "t": 2}
+    assert {c: got[c]["n_missing"] for c in got} == {"i": 1, "x": 1, "d": 1, "s": 1, "t": 1}
+    assert {c: got[c]["mode"] for c in got} == {"i": None, "x": None, "d": None, "s": "b", "t": "true"}
+    assert got["x"]["median"] == 0.0 and got["d"]["median"] == 1.1
