@@ -371,3 +371,26 @@ def test_profile_counts_distinct_values_exactly(spark):
     assert {c: got[c]["n_missing"] for c in got} == {"i": 1, "x": 1, "d": 1, "s": 1, "t": 1}
     assert {c: got[c]["mode"] for c in got} == {"i": None, "x": None, "d": None, "s": "b", "t": "true"}
     assert got["x"]["median"] == 0.0 and got["d"]["median"] == 1.1
+
+
+@pytest.mark.parametrize("few", [3, 900])
+def test_kendall_over_cut_groups(spark, monkeypatch, few):
+    """Parts of 70 rows cut every group; 900 values need two digits."""
+    monkeypatch.setattr(co, "PART_ROWS", 70)
+    rng = np.random.default_rng(few)
+    x = rng.integers(0, few, 1500)
+    y = (x * 3 + rng.integers(0, 1200, 1500)).astype(float)
+    y[:5], x[5:300] = [np.nan, -np.inf, np.inf, -0.0, 0.0], 1
+    pdf = pd.DataFrame({"x": x, "y": y}).dropna()
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(x, y)], "x bigint, y double")
+    dx, dy = (np.sign(np.subtract.outer(v, v)) for v in (pdf.x.to_numpy(), pdf.y.rank().to_numpy()))
+    want = (dx * dy).sum() / math.sqrt((dx**2).sum() * (dy**2).sum())
+    for a, b in (("x", "y"), ("y", "x")):
+        got = co.kendall_pair(df, a, b).first()
+        assert (got["a"], got["b"]) == (a, b)
+        assert got["r"] == pytest.approx(want, abs=1e-12)
+
+
+def test_kendall_without_rows(spark):
+    df = spark.createDataFrame([(None, 1.0), (2.0, None)], "x double, y double")
+    assert co.kendall_pair(df, "x", "y").first()["r"] is None
