@@ -124,3 +124,29 @@ def test_contamination_of_empty_tables(spark):
     assert sorted(got, key=str) == sorted(brute_contamination(AWKWARD, []), key=str)
     some = spark.createDataFrame([(1, "one two")], "item_id long, text string")
     assert contamination(documents(spark, []), some).count() == 0
+
+
+def test_components_of_few_edges_take_few_tasks(spark, monkeypatch):
+    from opinara.llm import graph
+
+    sizes = []
+
+    def cut(df):
+        out = cut_lineage(df)
+        sizes.append(out.rdd.getNumPartitions())
+        return out
+
+    cut_lineage = graph.cut_lineage
+    monkeypatch.setattr(graph, "cut_lineage", cut)
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (9, 8), (7, 7)], "a long, b long")
+        got = {r["node"]: r["component"] for r in graph.components(edges).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 8: 8, 9: 8}
+    assert max(sizes[1:]) <= 2
