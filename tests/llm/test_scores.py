@@ -200,6 +200,46 @@ def test_rare_contexts_are_states(spark, monkeypatch, head):
         assert math.isclose(got[k], score, abs_tol=1e-6)
 
 
+@pytest.mark.parametrize("head", [3, 50, 400_000])
+@pytest.mark.parametrize("group", [30, 300, 4000])
+def test_large_contexts_against_brute_force(spark, group, head):
+    """Contexts of more than ``group`` tokens are tables, the others meet in buckets."""
+    s = tree.Settings(head=head, group=group, least_gain=10.0)
+    for rows in (sparse_corpus(), corpus(random.Random(3), 200) + [(900, "a b a b zz"), (901, ""), (902, None)]):
+        held = [zlib.crc32(str(k).encode()) % 10 == 0 for k, _ in rows]
+        states, want = brute_scores([t for _, t in rows], held, s)
+        assert states
+        got = {r.doc_id: r.score for r in tree.score_texts(documents(spark, rows), s).collect()}
+        for (k, _), score in zip(rows, want, strict=True):
+            assert math.isclose(got[k], score, abs_tol=1e-6)
+
+
+def test_tokens_are_dealt_once(spark, monkeypatch):
+    """No table of contexts or of their next symbols is written where none is large, and a
+    token is sent in less than 16 bytes."""
+    written, blocks = [], []
+    table, deal = tree.materialize, tree.deal
+    monkeypatch.setattr(tree, "materialize", lambda df, name: written.append(name) or table(df, name))
+    monkeypatch.setattr(tree, "deal", lambda *a: blocks.append(deal(*a)) or blocks[-1])
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(900)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(200))) for i in range(400)]
+    got = tree.score_texts(documents(spark, rows))
+    assert got.count() == 400 and written == ["token_counts"]
+    sent = [r.asDict() for r in blocks[0].collect()]
+    assert sum(r["n"] for r in sent) > 70_000
+    assert sum(len(v) for r in sent for v in r.values() if isinstance(v, bytearray | bytes)) < 16 * sum(r["n"] for r in sent)
+
+
+def test_rows_of_the_same_key_and_text(spark):
+    rows = corpus(random.Random(6), 100)
+    rows = rows + rows[:30] + [(None, "a b c"), (None, "a b c"), (None, None), (5, None), (5, ""), (None, "5")]
+    held = [k is not None and zlib.crc32(str(k).encode()) % 10 == 0 for k, _ in rows]
+    _, want = brute_scores([t for _, t in rows], held, tree.Settings())
+    got = [(r.doc_id, r.n_tokens, round(r.score, 6)) for r in tree.score_texts(documents(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted([(k, len(spaced(t)) + 1, round(v, 6)) for (k, t), v in zip(rows, want)], key=str)
+
+
 # ---- licenses -------------------------------------------------------------------------
 
 
