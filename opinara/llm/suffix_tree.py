@@ -634,8 +634,10 @@ def subtrees(of: np.ndarray, x: np.ndarray, words: np.ndarray, own: np.ndarray,
             gain = add(c * np.log(c / n[owner] / below)) + np.where(left > 0, left * np.log(left / n / left_below), 0.0)
             back = np.maximum((left + s.discount * np.bincount(owner[kept], minlength=len(first))) / n, 1e-12) / left_below
             inside = np.where(kept, (c - s.discount) / n[owner], back[owner] * below)
+        # after a large context the tokens of a pair may differ in what stands above: left alone
         state = frequent & ~large & (gain >= s.least_gain)
-        p[at] = np.repeat(np.where(state[owner], inside, below), times)
+        decided = np.repeat(state[owner], times)
+        p[at[decided]] = np.repeat(inside[state[owner]], times[state[owner]])
         if k + 1 < s.depth:
             going = np.repeat((frequent | large)[owner], times) & (words[k + 1][of[at]] != NONE)
             context = np.repeat(owner, times)[going] * width

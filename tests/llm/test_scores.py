@@ -214,6 +214,28 @@ def test_large_contexts_against_brute_force(spark, group, head):
             assert math.isclose(got[k], score, abs_tol=1e-6)
 
 
+def two_back(rng, n):
+    """Texts in which the two words before say much about the next one."""
+    rows, follow = [], {(a, b): rng.sample("abcdef", 2) for a in "abcdef" for b in "abcdef"}
+    for i in range(n):
+        out = ["a", "b"]
+        for _ in range(rng.randrange(5, 60)):
+            out.append(rng.choice(follow[out[-2], out[-1]]) if rng.random() < 0.8 else rng.choice("abcdef"))
+        rows.append((i, " ".join(out)))
+    return rows
+
+
+@pytest.mark.parametrize("group", [100, 160])
+def test_large_contexts_of_two_words(spark, group):
+    """Tokens of one bucket may have large contexts of different lengths above them."""
+    rows, s = two_back(random.Random(2), 400), tree.Settings(head=400, group=group, least_gain=10.0)
+    held = [zlib.crc32(str(k).encode()) % 10 == 0 for k, _ in rows]
+    _, want = brute_scores([t for _, t in rows], held, s)
+    got = {r.doc_id: r.score for r in tree.score_texts(documents(spark, rows), s).collect()}
+    for (k, _), score in zip(rows, want, strict=True):
+        assert math.isclose(got[k], score, abs_tol=1e-6)
+
+
 def test_tokens_are_dealt_once(spark, monkeypatch):
     """No table of contexts or of their next symbols is written where none is large, and a
     token is sent in less than 16 bytes."""
